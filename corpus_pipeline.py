@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayside.llm import exact_dedup, mixing
+from wayside.llm import exact_dedup, mixing, packing, quality_gam
 from wayside.llm.common import read_table
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, trained on these rows' labels, does not reject."""
+    return quality_gam.keep_good(docs, read_table(spark, sf_dir, "labels"))
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest doc_id stays."""
     return exact_dedup.drop_duplicates(docs)
@@ -18,7 +23,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(docs)
 
 
-STAGES = [("exact_dedup", drop_copies), ("mixing", mix)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents, each with its place in a sequence."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality", good), ("exact_dedup", drop_copies), ("mixing", mix), ("packing", pack)]
 #: The classifier and the packing have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
 
