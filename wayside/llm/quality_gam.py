@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import fold_of, unused
 from .textblocks import hash_spans, slices, texts_of, windows_of, word_bounds
@@ -207,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int = 0)
 
 def with_scores(docs: DataFrame, model: Additive, score_col: str) -> DataFrame:
     """docs with a score column; extra columns pass through."""
-    schema = docs.schema.add(score_col, "double")
+    schema = StructType([*docs.schema.fields, StructField(score_col, DoubleType())])
 
     def apply(batches):
         for batch in batches:
