@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayside.llm import exact_dedup, mixing, packing, quality_gam
+from wayside.llm import exact_dedup, mixing, near_dedup, packing, quality_gam
 from wayside.llm.common import read_table
 
 
@@ -18,6 +18,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_duplicates(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates one document stays: five-word shingles, similarity 0.8."""
+    return near_dedup.drop_near_duplicates(docs, k=5, percent=80)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents once for each time that the mix to target weights takes them."""
     return mixing.mix_documents(docs)
@@ -28,7 +33,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("quality", good), ("exact_dedup", drop_copies), ("mixing", mix), ("packing", pack)]
+STAGES = [("quality", good), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("mixing", mix), ("packing", pack)]
 #: The classifier and the packing have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
 

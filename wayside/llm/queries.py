@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, exact_dedup, language_id, mixing, packing, quality_gam, quality_rules
+from . import chat_format, exact_dedup, language_id, mixing, near_dedup, packing, quality_gam, quality_rules
 from .common import read_table
 
 
@@ -41,4 +41,8 @@ def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_language_id, op4_chat_format, op5_packing, op6_exact_dedup, op8_quality_gam, op10_quality_rules)}
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_near_dedup, op3_language_id, op4_chat_format, op5_packing, op6_exact_dedup, op8_quality_gam, op10_quality_rules)}
