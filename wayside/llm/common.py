@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,13 +35,26 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the session's shared checkpoint folder and reads it from there: later steps
-    neither recompute it nor depend on the executors that made it."""
-    context = df.sparkSession.sparkContext
+def _shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names, or a local one where it names none."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        there = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        there = spark.conf.get("spark.checkpoint.dir", None)
         if there is None:  # a local run, as in tests
             there = os.path.join(tempfile.gettempdir(), "wayside-checkpoints")
         context.setCheckpointDir(there)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared checkpoint folder: compact, and read by column."""
+    path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes df to the session's shared checkpoint folder and reads it from there: later steps
+    neither recompute it nor depend on the executors that made it."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

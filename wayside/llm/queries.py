@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, exact_dedup, language_id, mixing, near_dedup, packing, quality_gam, quality_rules
+from . import chat_format, exact_dedup, language_id, mixing, near_dedup, packing, quality_gam, quality_rules, suffix_dedup
 from .common import read_table
 
 
@@ -45,4 +45,8 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_near_dedup, op3_language_id, op4_chat_format, op5_packing, op6_exact_dedup, op8_quality_gam, op10_quality_rules)}
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_near_dedup, op3_language_id, op4_chat_format, op5_packing, op6_exact_dedup, op8_quality_gam, op9_suffix_dedup, op10_quality_rules)}
