@@ -1,6 +1,6 @@
 """Whole queries composed of the operators, with their SQL counterparts."""
 
-from . import profiling
+from . import profiling, rules
 from .tables import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "profiling"]
+__all__ = ["ORACLES", "QUERIES", "profiling", "rules"]
