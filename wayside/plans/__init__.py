@@ -1,6 +1,6 @@
 """Whole queries composed of the operators, with their SQL counterparts."""
 
-from . import profiling, rules
+from . import profiling, rules, spans
 from .tables import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "profiling", "rules"]
+__all__ = ["ORACLES", "QUERIES", "profiling", "rules", "spans"]
