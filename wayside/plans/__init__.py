@@ -1,6 +1,6 @@
 """Whole queries composed of the operators, with their SQL counterparts."""
 
-from . import places, profiling, rules, spans
+from . import places, profiling, rules, spans, texts
 from .tables import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "places", "profiling", "rules", "spans"]
+__all__ = ["ORACLES", "QUERIES", "places", "profiling", "rules", "spans", "texts"]
