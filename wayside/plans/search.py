@@ -87,16 +87,16 @@ def side_sign(dx: Column, dy: Column, side: Column, least: float = 0.3420201433)
 
 @query("""WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity AS q, l_discount AS disc, l_tax AS tax, l_returnflag AS f,
       CASE WHEN l_linenumber = 1 THEN NULL ELSE l_quantity * 9 END AS off FROM lineitem)
-    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(round(greatest(0.0, least(1.0, (0.45 * (1 - disc) + 0.20 / l_linenumber
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(floor(round(greatest(0.0, least(1.0, (0.45 * (1 - disc) + 0.20 / l_linenumber
       + 0.20 * CASE WHEN q <= 30 THEN 1.0 ELSE greatest(0.0, 1 - (q - 30) / 30.0) END
-      + 0.15 * CASE WHEN off IS NULL THEN 0.7 WHEN off <= 75 THEN 1.0 WHEN off >= 400 THEN 0.0 ELSE (400 - off) / 325 END) * CASE WHEN f = 'R' THEN 0.8 ELSE 1.0 END)), 4), 3) AS confidence,
+      + 0.15 * CASE WHEN off IS NULL THEN 0.7 WHEN off <= 75 THEN 1.0 WHEN off >= 400 THEN 0.0 ELSE (400 - off) / 325 END) * CASE WHEN f = 'R' THEN 0.8 ELSE 1.0 END)), 4) * 100 + 1e-6) AS INT) AS hundredths,
       CAST(CASE WHEN abs((-(q - 20) * (f = 'A')::INT + (tax * 100 + 1) * (f <> 'A')::INT) / sqrt((tax * 100 + 1) * (tax * 100 + 1) + (q - 20) * (q - 20))) < 0.3420201433 THEN 0
            WHEN -(q - 20) * (f = 'A')::INT + (tax * 100 + 1) * (f <> 'A')::INT > 0 THEN 1 ELSE -1 END AS INT) AS side FROM l""")
 def snap_scores(spark, d):
     off = F.when(F.col("l_linenumber") == 1, None).otherwise(F.col("l_quantity") * 9)
     score = snap_confidence(1 - F.col("l_discount"), F.col("l_linenumber"), F.col("l_quantity"), F.lit(30.0), off, F.col("l_returnflag") == "R")
     side = side_sign(F.col("l_tax") * 100 + 1, F.col("l_quantity") - 20, F.when(F.col("l_returnflag") == "A", "E").otherwise("N"))
-    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(score, 3).alias("confidence"), side.alias("side"))
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.floor(score * 100 + 1e-6).cast("int").alias("hundredths"), side.alias("side"))
 
 
 @query("""SELECT c_custkey, CASE WHEN regexp_matches(c_name, '^\\s*\\d') THEN 1 ELSE NULL END AS number, c_acctbal > 0 AS up, CAST((c_custkey % 2 = 0)::INT + 2 * (c_custkey % 3 = 0)::INT + 4 * (c_acctbal > 0)::INT AS INT) AS bits FROM customer""")
