@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from functools import cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +18,27 @@ SPACE = r"[\x20\x09-\x0D]+"
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+@cache
+def _archive() -> str:
+    """The library as a zip file in a fresh temporary folder of the driver."""
+    root = Path(__file__).resolve().parent.parent
+    out = Path(tempfile.mkdtemp(prefix="wayside-")) / "wayside_code.zip"
+    with zipfile.ZipFile(out, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, Path(root.name) / p.relative_to(root))
+    return str(out)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the library to the executors, once a context, so tasks can import it wherever they run."""
+    context = spark.sparkContext
+    if getattr(context, "_wayside", None) is None and (Path(__file__).resolve().parent.parent / "__init__.py").is_file():
+        context.addPyFile(_archive())
+        context._wayside = True
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -53,6 +76,17 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: ids, 8 bytes each, that are sent to all tasks; where there are more, rows are joined by shuffle
+SENT_IDS = 1_000_000
+
+
+def among(rows: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows whose key is among ids, a table of one long column (left_anti: is not). Up to SENT_IDS
+    ids are counted and sent to the tasks, so that wide rows are not shuffled only to be dropped."""
+    (key,) = ids.columns
+    return rows.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, key, how)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the session's shared checkpoint folder and reads it from there: later steps
     neither recompute it nor depend on the executors that made it."""

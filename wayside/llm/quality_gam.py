@@ -203,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int = 0)
 
     found = rows.mapInArrow(apply, schema).limit(2 * MAX_ROWS).toPandas()
     found = found.iloc[np.lexsort(np.array([[v, *f[::-1]] for v, f in zip(found.label, found.f, strict=True)]).T)] if len(found) else found  # any order of arrival, one model
-    return train(np.array(found.f.tolist()).reshape(len(found), -1), found.label.to_numpy(float))
+    return train(np.array(found.f.tolist()).reshape(len(found), len(FEATURES)), found.label.to_numpy(float))
 
 
 def with_scores(docs: DataFrame, model: Additive, score_col: str) -> DataFrame:
