@@ -2,11 +2,11 @@
 
 A document's set is its distinct 3-word shingles (k is a parameter), as 64-bit hashes. Documents with
 equal sets are one class from the start. A class has a signature of COORDINATES minima; it is posted
-under (coordinate, value) pairs. Two documents of the wanted similarity agree in at least MATCHES
-coordinates but for one link in some ten thousand, so they meet under one of their
-COORDINATES - MATCHES + 1 rarest pairs: only those are posted (the prefix), pairs that one class
+under (coordinate, value) pairs. Two documents of the wanted similarity agree in at least
+matches_for() coordinates but for one link in some ten thousand, so they meet under one of their
+COORDINATES - matches + 1 rarest pairs: only those are posted (the prefix), pairs that one class
 alone has are skipped, and lists of common values are never merged. Collisions of coordinates are
-then counted on the signatures, and pairs with MATCHES or more are confirmed on the full sets.
+then counted on the signatures, and pairs with as many matches are confirmed on the full sets.
 
 A posting list is not expanded into all pairs. First each list's most typical class, the one whose
 values are the most common, is compared with the rest of its list: as many pairs as postings. The
@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, unused
+from .common import among, cut, unused
 from .textblocks import hash_spans, mix, slices, texts_of, windows_of, word_bounds
 
-SHINGLE, COORDINATES, MATCHES, BLOCK = 3, 48, 31, 1024
+SHINGLE, COORDINATES, BLOCK = 3, 48, 1024
 MIN_PERCENT = 85
 _U = np.uint64
 _RNG = np.random.default_rng(20240229)
@@ -38,6 +38,12 @@ _XOR = _RNG.integers(0, 2**64, COORDINATES, np.uint64)
 _MUL = _RNG.integers(0, 2**63, COORDINATES, np.uint64) * _U(2) + _U(1)
 
 
+def matches_for(percent: int) -> int:
+    """Coordinates that two sets of this similarity share but for four standard deviations."""
+    p = percent / 100
+    return max(1, round(COORDINATES * p - 4 * (COORDINATES * p * (1 - p)) ** 0.5))
+
+
 def shingle_sets(column: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(values, begin): the distinct shingle hashes of each row in rising order, and where each
     row's begin (rows + 1 numbers)."""
@@ -81,7 +87,7 @@ def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(apply, schema)
 
 
-def postings(classes: DataFrame) -> DataFrame:
+def postings(classes: DataFrame, matches: int) -> DataFrame:
     """key, rep, common: the prefix postings of classes (rep, sig); common grows with how usual a
     class's values are."""
     each = classes.select("rep", F.posexplode("sig").alias("c", "v"))
@@ -89,8 +95,8 @@ def postings(classes: DataFrame) -> DataFrame:
     shared = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     lists = each.join(shared, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("found"))
     # values that no other class has are the rarest: they use up the prefix first
-    room = COORDINATES - MATCHES + 1 - (COORDINATES - F.size("found"))
-    prefix = F.expr(f"slice(found, 1, greatest(0, {COORDINATES - MATCHES + 1 - COORDINATES} + size(found)))")
+    room = F.size("found") - matches + 1
+    prefix = F.expr(f"slice(found, 1, greatest(0, size(found) - {matches - 1}))")
     rows = lists.where(room > 0).select("rep", F.expr("aggregate(found, 0L, (a, x) -> a + x.n)").alias("common"), F.explode(prefix).alias("p"))
     return rows.select("p.key", "rep", "common")
 
@@ -99,13 +105,13 @@ def _matches(a: str, b: str):
     return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> cast(x = y AS int)), 0, (s, x) -> s + x)")
 
 
-def star_pairs(posted: DataFrame, classes: DataFrame) -> DataFrame:
-    """Distinct (a, b): each list's most typical class with every other, if MATCHES coordinates collide."""
+def star_pairs(posted: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
+    """Distinct (a, b): each list's most typical class with every other, if enough coordinates collide."""
     top = posted.groupBy("key").agg(F.max(F.struct("common", "rep")).alias("top")).select("key", F.col("top.rep").alias("a"))
     pairs = posted.join(top, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
     sig = classes.select("rep", "sig")
     pairs = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b")
-    return pairs.where(_matches("sig_a", "sig_b") >= MATCHES).select("a", "b")
+    return pairs.where(_matches("sig_a", "sig_b") >= matches).select("a", "b")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -118,7 +124,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, k: int = SHINGLE) -> DataFrame:
                 rows = [values[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(rows, pa.binary())], names=["rep", "members"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    rows = among(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids.select(F.col("rep").alias("doc_id")))
     return rows.mapInArrow(apply, "rep long, members binary")
 
 
@@ -162,7 +168,7 @@ def components(links: DataFrame) -> DataFrame:
         edges = cut(small)
 
 
-def _block_links(sig_x, mask_x, comp_x, sets_x, sig_y, mask_y, comp_y, sets_y, coordinate, same, percent):
+def _block_links(sig_x, mask_x, comp_x, sets_x, sig_y, mask_y, comp_y, sets_y, coordinate, same, percent, matches):
     """Indices (i, j) of links between two sides of a list that join components not yet joined."""
     live = comp_x[:, None] != comp_y[None, :]
     if same:
@@ -174,7 +180,7 @@ def _block_links(sig_x, mask_x, comp_x, sets_x, sig_y, mask_y, comp_y, sets_y, c
         if c < coordinate:  # a pair belongs to the first list that both are posted in
             bit = np.int64(1) << np.int64(c)
             live &= ~(equal & (mask_x & bit != 0)[:, None] & (mask_y & bit != 0)[None, :])
-    i, j = np.nonzero(live & (hits >= MATCHES))
+    i, j = np.nonzero(live & (hits >= matches))
     order = np.argsort(-hits[i, j].astype(np.int64), kind="stable")
     parent: dict[int, int] = {}
 
@@ -201,7 +207,7 @@ def remaining_links(posted: DataFrame, classes: DataFrame, roots: DataFrame, doc
     rows = rows.join(lists, "key")
     mask = posted.groupBy("rep").agg(F.expr("bit_or(shiftleft(1L, cast(shiftright(key, 32) AS int)))").alias("mask"))
     rows = cut(rows.join(mask, "rep").join(classes.select("rep", "sig"), "rep"))
-    sets = sets_of(docs, rows.select("rep").distinct(), k)
+    sets = sets_of(docs, cut(rows.select("rep").distinct()), k)
     # side by side: a row of block i goes to the block pairs (min(i, j), max(i, j)) of its list
     rows = rows.withColumn("i", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rows = rows.join(sets, "rep").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -215,7 +221,7 @@ def remaining_links(posted: DataFrame, classes: DataFrame, roots: DataFrame, doc
         members = [np.frombuffer(m, np.uint64) for m in get("members").to_pylist()]
         s, t = np.flatnonzero(side == x), np.flatnonzero(side == y)
         of = lambda at: (sig[at], mask[at], comp[at], [members[v] for v in at])
-        found = [(rep[s[a]], rep[t[b]]) for a, b in _block_links(*of(s), *of(t), coordinate, x == y, percent)]
+        found = [(rep[s[a]], rep[t[b]]) for a, b in _block_links(*of(s), *of(t), coordinate, x == y, percent, matches_for(percent))]
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
     return rows.groupBy("key", "x", "y").applyInArrow(group, "a long, b long").distinct()
@@ -227,9 +233,9 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = MIN_PERCEN
     key = ["set_a", "set_b", "n_shingles"]
     classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("sig").alias("sig"))
     classes = cut(classes)
-    posted = cut(postings(classes))
-    pairs = cut(star_pairs(posted, classes))
-    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    posted = cut(postings(classes, matches_for(percent)))
+    pairs = cut(star_pairs(posted, classes, matches_for(percent)))
+    ids = cut(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct())
     roots = components(confirm(pairs, cut(sets_of(docs, ids, k)), percent))
     more = cut(remaining_links(posted, classes, roots, docs, k, percent))
     if not more.isEmpty():
