@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import fold_of, written
 from .textblocks import _BASE, _INV, _POW, _powers, hash_spans, mix, slices, texts_of, word_bounds
 
-PASSES, PRIOR, COMMON, HELD_FOLD = 1, 1000.0, 200_000, 1
+PASSES, PRIOR, COMMON, HELD_FOLD = 3, 1000.0, 200_000, 1
 SLICE, WORDS_AT_ONCE = 8 << 20, 20_000
 _U = np.uint64
 _MARK = 32  # the byte before a word; words have none
@@ -215,7 +215,16 @@ def score(docs: DataFrame, path: str | None = None, passes: int = PASSES, common
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch["c"], pa.array(out)], names=["word", "c", "log10_p"])
 
     scored = written(words.mapInArrow(score_words, "word long, c long, log10_p double"))
-    top = scored.orderBy(F.desc("c"), "word").limit(common).toPandas().sort_values("word")  # `common` rows at most
+    # the most frequent words, `common` at most: counts from a level up, levels being eighths of a doubling
+    level = F.floor(F.log2(F.greatest("c", F.lit(1))) * 8)
+    sizes = {r["level"]: r["n"] for r in scored.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()}  # at most 504 levels
+    lowest, total = 1 << 20, 0
+    for k in sorted(sizes, reverse=True):
+        total += sizes[k]
+        if total > common:
+            break
+        lowest = k
+    top = scored.where(level >= lowest).toPandas().sort_values("word")
     keys, counts, probs = top["word"].to_numpy("int64"), top["c"].to_numpy("int64"), top["log10_p"].to_numpy(float)
     base_of = np.log10(counts + 0.5) - below
     table = docs.sparkSession.sparkContext.broadcast((keys, counts > 0, base_of, probs))
