@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import among, written
 from .textblocks import _INV, _POW, mix, slices, texts_of
 
 WINDOW, KGRAM, STEP, BLOCK = 400, 33, 23, 2000
@@ -120,15 +120,25 @@ class Hashes:
 
 
 def segments(data: np.ndarray, off: np.ndarray):
-    """(row, start, bytes): parts of the rows so that every window is in exactly one."""
-    for row in range(len(off) - 1):
-        a, b = int(off[row]), int(off[row + 1])
-        for p in range(a, b - WINDOW + 1, SEGMENT):
-            yield row, p - a, data[p : min(b, p + SEGMENT + WINDOW - 1)]
-
-
-def anchors(data: np.ndarray, hashes: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first window, last window) of each anchor of a text of at least WINDOW bytes."""
+    """(start, bytes, ends of rows in them): stretches of whole short rows, or parts of a long one, so
+    that every window is in exactly one."""
+    rows, r = len(off) - 1, 0
+    while r < rows:
+        a = int(off[r])
+        if off[r + 1] - a > SEGMENT:
+            for p in range(a, int(off[r + 1]) - WINDOW + 1, SEGMENT):
+                piece = data[p : min(off[r + 1], p + SEGMENT + WINDOW - 1)]
+                yield p, piece, np.array([len(piece)])
+            r += 1
+        else:
+            to = max(r + 1, int(np.searchsorted(off, a + SEGMENT, "right")) - 1)
+            if off[to] - a >= WINDOW:
+                yield a, data[a : off[to]], off[r + 1 : to + 1] - a
+            r = to
+
+
+def anchors(data: np.ndarray, hashes: Hashes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, first window, last window) of each anchor; windows don't cross the ends."""
     n = len(data) - KGRAM + 1
     i = np.arange(n)
     v = (hashes.of(i, i + KGRAM) & _U(0xFFFFFFFFFF000000)) | (_U(0xFFFFFF) - i.astype(np.uint64))
@@ -141,10 +151,17 @@ def anchors(data: np.ndarray, hashes: Hashes) -> tuple[np.ndarray, np.ndarray, n
     p = n - SPAN + 1
     least = np.minimum(back[:p], ahead[SPAN - 1 : SPAN - 1 + p])
     where = (_U(0xFFFFFF) - (least & _U(0xFFFFFF))).astype(np.int64)
-    edge = np.flatnonzero(where[1:] != where[:-1]) + 1
+    whole = np.ones(p, bool)
+    for e in ends:
+        whole[max(0, e - WINDOW + 1) : e] = False
+    at = np.flatnonzero(whole)
+    if not len(at):
+        return at, at, at
+    where = where[at]
+    edge = np.flatnonzero((where[1:] != where[:-1]) | (at[1:] != at[:-1] + 1)) + 1
     lo = np.concatenate(([0], edge))
-    hi = np.concatenate((edge, [p])) - 1
-    return where[lo], lo, hi
+    hi = np.concatenate((edge, [len(at)])) - 1
+    return where[lo], at[lo], at[hi]
 
 
 def half_cores(texts: DataFrame) -> DataFrame:
@@ -156,15 +173,16 @@ def half_cores(texts: DataFrame) -> DataFrame:
             for part in slices(batch, "text", 1 << 20):
                 data, off = texts_of(part["text"])
                 uid, out = part["uid"].to_numpy(), []
-                for row, start, piece in segments(data, off):
+                for start, piece, ends in segments(data, off):
                     h = Hashes(piece)
-                    at, lo, hi = anchors(piece, h)
+                    at, lo, hi = anchors(piece, h, ends)
+                    row = np.searchsorted(off, at + start, "right") - 1
+                    shift = start - off[row]  # places count from the beginning of their text
                     for j in (0, 1):  # windows with less than half, or at least half, before the anchor
-                        a = at - half * j
                         has = (at - lo >= half) if j else (at - hi < half)
-                        a, x, y, z = a[has], at[has], lo[has], hi[has]
+                        a, d = (at - half * j)[has], shift[has]
                         key = mix(h.of(a, a + KGRAM + SPAN - half) + _U(j))
-                        out.append((np.full(len(a), uid[row]), x + start, y + start, z + start, key.view(np.int64)))
+                        out.append((uid[row[has]], at[has] + d, lo[has] + d, hi[has] + d, key.view(np.int64)))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["uid", "at", "lo", "hi", "key"])
 
@@ -281,21 +299,22 @@ def removals(docs: DataFrame) -> DataFrame:
     """uid, runs: for each text with repeated windows, array of (base, mask); a window with m bytes
     before its core begins at base - m."""
     texts = _texts(docs)
-    halves = half_cores(texts.where(F.col("n_bytes") >= WINDOW).select("uid", "text"))
+    halves = written(half_cores(texts.where(F.col("n_bytes") >= WINDOW).select("uid", "text")))
     place = F.xxhash64("uid", "at")
     shared = halves.groupBy("key").agg(F.min(place).alias("p"), F.max(place).alias("q")).where("p <> q").select("key")
-    found = halves.join(shared, "key", "left_semi").select("uid", "at", "lo", "hi").distinct()
+    found = written(halves.join(shared, "key", "left_semi").select("uid", "at", "lo", "hi").distinct())
+    own = among(texts, found.select("uid").distinct())
     found = found.groupBy("uid").agg(F.collect_list(F.struct("at", "lo", "hi")).alias("found"))
-    one = texts.groupBy("uid").agg(F.min("doc_id").alias("doc_id"))  # a row for each text
-    found = found.join(one, "uid").select("uid", "doc_id", "found")
-    rows = texts.select("uid", "doc_id", "text").join(found, (texts["uid"] == found["uid"]) & texts["doc_id"].eqNullSafe(found["doc_id"])).select(found["uid"], "text", "found")
-    records = cut(step_cores(rows))
+    one = own.groupBy("uid").agg(F.min("doc_id").alias("doc_id"))  # a row for each text
+    found = found.join(one, "uid").select(F.col("uid").alias("f_uid"), F.col("doc_id").alias("f_doc_id"), "found")
+    rows = own.select("uid", "doc_id", "text").join(found, (F.col("uid") == F.col("f_uid")) & F.col("doc_id").eqNullSafe(F.col("f_doc_id"))).select("uid", "text", "found")
+    records = written(step_cores(rows))
     key = ["core_a", "core_b"]
     pieces = records.groupBy(*key, "before", "after").agg(F.count("*").alias("n"))
     cores = pieces.groupBy(*key).agg(F.count("*").alias("m")).where("m > 1")
     twice = F.when(F.col("n") > 1, F.expr(f"shiftleft(1L, cast(length(before) + 1 AS int)) - shiftleft(1L, cast({STEP - 1} - length(after) AS int))"))
     whole = pieces.where("n > 1").select(*key, "before", "after", twice.alias("mask"))
-    several = cut(pieces.join(cores, key))
+    several = written(pieces.join(cores, key))
     masks = whole.unionByName(sorted_masks(several.where(F.col("m") <= BLOCK))).unionByName(grouped_masks(several.where(F.col("m") > BLOCK)))
     masks = masks.groupBy(*key, "before", "after").agg(F.expr("bit_or(mask)").alias("mask")).where("mask <> 0")
     hit = records.join(masks, [*key, "before", "after"]).select("uid", "base", "mask")
@@ -319,8 +338,12 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     texts = _texts(docs)
     copies = texts.groupBy("uid").agg((F.count("*") > 1).alias("copied"))
-    state = copies.join(removals(docs), "uid", "left").where("copied OR runs IS NOT NULL")
-    rows = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "uid", "text").join(state, "uid", "left").select("doc_id", "text", "copied", "runs")
+    state = written(copies.join(removals(docs), "uid", "left").where("copied OR runs IS NOT NULL"))
+    texts = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "uid", "text")
+    changed, ids = ["doc_id", "text", "copied", "runs"], state.select("uid")
+    rows = among(texts, ids).join(state, "uid").select(*changed)
+    same = among(texts, ids, "left_anti").withColumns({"copied": F.lit(False), "runs": F.lit(None).cast(state.schema["runs"].dataType)})
+    rows = rows.union(same.select(*changed))
 
     def apply(batches):
         for batch in batches:
