@@ -121,6 +121,13 @@ def shortest_chain(spark, d):
     return network.shortest_chains(edges, "a", "b", edges.agg(F.min("a")), edges.agg(F.max("a")), 8)
 
 
+@query()
+def shortest_chain_whole(spark, d):
+    """From the first part to the last over all lines, parts and suppliers being the nodes. A recursive SQL would walk every path of so dense a graph: tests compare with brute force."""
+    edges = _edges(spark, d)
+    return network.shortest_chains(edges, "a", "b", edges.agg(F.min("a")), edges.agg(F.max("a")))
+
+
 _TREE = "t AS (SELECT c_custkey AS a, c_custkey // 2 AS b FROM customer WHERE c_custkey > 1 AND c_custkey % 5 <> 0)"
 
 
@@ -133,6 +140,18 @@ def dead_end_walk(spark, d):
     return network.dead_ends(tree, "a", "b", network.both_ways(tree, "a", "b").select("u").distinct())
 
 
+_WHOLE_TREE = "t AS (SELECT c_custkey AS a, c_custkey // 2 AS b FROM customer)"
+
+
+@query(f"""WITH RECURSIVE {_WHOLE_TREE}, s AS (SELECT a AS u, b AS v FROM t WHERE a <> b UNION SELECT b, a FROM t WHERE a <> b), g AS (SELECT u, count(*) AS degree, min(v) AS low, max(v) AS high FROM s GROUP BY u),
+    w AS (SELECT u AS start, u AS last, low AS node, 1 AS depth FROM g WHERE degree = 1
+          UNION ALL SELECT w.start, w.node, CASE WHEN g.low = w.last THEN g.high ELSE g.low END, w.depth + 1 FROM w JOIN g ON g.u = w.node WHERE g.degree = 2 AND w.depth < 31)
+    SELECT start, arg_max(node, w.depth) AS node, max(w.depth) AS depth, CASE WHEN arg_max(g.degree, w.depth) = 1 THEN 'dangling' ELSE 'fork' END AS how FROM w JOIN g ON g.u = w.node GROUP BY start""")
+def dead_end_walk_whole(spark, d):
+    tree = read(spark, d, "customer").select(F.col("c_custkey").alias("a"), F.floor(F.col("c_custkey") / 2).alias("b"))
+    return network.dead_ends(tree, "a", "b", network.both_ways(tree, "a", "b").select("u").distinct())
+
+
 _PTS = "p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, embedding[4]::DOUBLE AS w FROM embeddings)"
 
 

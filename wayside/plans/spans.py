@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import joins, ranking, spans
@@ -95,6 +96,12 @@ def placeholders(spark, d):
     return spans.placeholders(read(spark, d, "part").select("p_partkey"), seen, "side", ["A", "N", "R"])
 
 
+@query("""SELECT p_partkey, side FROM part, (VALUES ('A'), ('N'), ('R')) s(side) WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = side)""")
+def placeholders_whole(spark, d):
+    seen = read(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.col("l_returnflag").alias("side"))
+    return spans.placeholders(read(spark, d, "part").select("p_partkey"), seen, "side", ["A", "N", "R"])
+
+
 @query("""WITH e AS (SELECT user_id, event_id, CAST(value * 100 AS BIGINT)::DOUBLE AS v, event_type = 'error' AS known FROM events),
     k AS (SELECT user_id, event_id AS a, v FROM e WHERE known), p AS (SELECT user_id, event_id FROM e WHERE NOT known),
     x AS (SELECT p.user_id, p.event_id, max(k.a) FILTER (k.a < p.event_id) AS before_at, min(k.a) FILTER (k.a > p.event_id) AS after_at,
@@ -166,6 +173,18 @@ def bucketed_overlap_pairs(spark, d):
     return joins.overlapping_pairs(rows, "id", ["l_suppkey"], "span_start", "span_end", 32)
 
 
+@query("""WITH l AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, date_diff('day', DATE '1992-01-01', l_shipdate::DATE)::INT AS span_start, date_diff('day', DATE '1992-01-01', l_shipdate::DATE)::INT + l_quantity::INT AS span_end FROM lineitem),
+    s AS (SELECT *, concat_ws('-', l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_suppkey, l_orderkey, l_linenumber, l_partkey ORDER BY span_start, span_end)) AS id FROM l)
+    SELECT a.id AS a, b.id AS b, least(a.span_end, b.span_end) - greatest(a.span_start, b.span_start) AS overlap FROM s a JOIN s b ON a.l_suppkey = b.l_suppkey AND a.id < b.id AND a.span_start < b.span_end AND b.span_start < a.span_end""")
+def overlap_pairs_whole(spark, d):
+    at = F.date_diff(F.to_date("l_shipdate"), F.lit("1992-01-01").cast("date"))
+    own = ["l_orderkey", "l_linenumber", "l_partkey"]
+    rows = read(spark, d, "lineitem").select("l_suppkey", *own, at.alias("span_start"), (at + F.col("l_quantity").cast("int")).alias("span_end"))
+    nth = F.row_number().over(Window.partitionBy("l_suppkey", *own).orderBy("span_start", "span_end"))  # an order may have a line twice
+    rows = rows.withColumn("id", F.concat_ws("-", *own, nth))
+    return joins.overlapping_pairs(rows, "id", ["l_suppkey"], "span_start", "span_end", 32)
+
+
 @query("""SELECT s_suppkey, CASE WHEN n_name IS NOT NULL AND r_name IS NOT NULL THEN n_name || ' to ' || r_name WHEN n_name IS NOT NULL OR r_name IS NOT NULL THEN 'at ' || coalesce(n_name, r_name) END AS label
     FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 7 <> 0) ON n_nationkey = s_nationkey LEFT JOIN region ON r_regionkey = s_suppkey % 6""")
 def outer_labels(spark, d):
