@@ -3,7 +3,7 @@ smaller column operators around it (query kinds, snapping, sides)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import common as fn
@@ -13,18 +13,44 @@ from .spans import _RATES
 from .tables import query, read
 
 
-def rank_results(spans: DataFrame, verdicts: DataFrame, key: str, rates: Column, most_good: int, most_other: int, width: float = 0.5) -> DataFrame:
-    """spans (key, metres) with their verdicts, priced and scored; the legal ones in anchored bands,
-    posted before absence inside a band, capped; the others nearest first, capped."""
+def score_results(spans: DataFrame, verdicts: DataFrame, key: str, rates: Column) -> DataFrame:
+    """spans (key, metres) with their verdicts, priced and scored."""
     rows = spans.join(verdicts, key)
     priced = F.when(F.col("verdict") == "legal", F.when(F.col("charged_minutes") > 0, ranking.progressive_price(rates, F.col("charged_minutes").cast("int"))).otherwise(F.lit(0).cast("decimal(12,2)")))
     rows = rows.withColumns({"walk": ranking.walk_minutes(F.col("metres")), "price": priced, "risk": ranking.risk_dollars(F.coalesce("confidence", F.lit(1.0)))})
-    rows = rows.withColumn("score", F.round(ranking.total_cost(F.col("walk"), F.col("price"), F.col("risk")), 6))
-    legal = rows.where("verdict = 'legal'").orderBy("score", key).limit(most_good).withColumn("_all", F.lit(1))
-    banded = legal.join(ranking.anchored_bands(legal, "_all", key, "score", width).select(key, "band"), key).withColumn("part", F.lit("legal"))
-    other = rows.where("verdict <> 'legal'").orderBy("walk", key).limit(most_other).withColumn("band", F.lit(None).cast("int")).withColumn("part", F.lit("other"))
-    cols = [key, "part", "band", "verdict", "why", "price", "risk", "score"]
-    return banded.select(*cols).union(other.select(*cols))
+    return rows.withColumn("score", F.round(ranking.total_cost(F.col("walk"), F.col("price"), F.col("risk")), 6))
+
+
+def rank_results(rows: DataFrame, key: str, most_good: int, most_other: int, width: float = 0.5) -> DataFrame:
+    """Scored rows; the legal ones in anchored bands, posted before absence inside a band, capped last;
+    the others nearest first, capped. place is the order in a part; n_legal, n_illegal, n_ambiguous,
+    n_no_data and n_total count all rows before the caps.
+
+    Only bands up to the one that holds the most_good-th score can reach the list, and their anchors are
+    among the most_good lowest scores; rows of these bands are taken from all legal ones.
+    """
+    counts = rows.agg(*[F.count(F.when(F.col("verdict") == v, 1)).alias(f"n_{v}") for v in ("legal", "illegal", "ambiguous", "no_data")], F.count("*").alias("n_total"))
+    legal = rows.where("verdict = 'legal'")
+    first = legal.orderBy("score", key).limit(most_good).withColumn("_all", F.lit(1))
+    anchors = ranking.anchored_bands(first, "_all", key, "score", width).groupBy("band").agg(F.min("score").alias("_a"))
+    ends = F.lead("_a").over(Window.orderBy("_a"))  # most_good rows at most
+    near = (F.col("score") >= F.col("_a")) & F.when(F.col("_b").isNull(), F.col("score") - F.col("_a") <= width).otherwise(F.col("score") < F.col("_b"))
+    banded = legal.join(F.broadcast(anchors.withColumn("_b", ends)), near)
+    banded = banded.withColumn("_o", F.struct("band", F.when(F.col("basis") == "posted", 0).otherwise(1).alias("basis"), "score", key))
+    other = rows.where("verdict <> 'legal'").withColumn("band", F.lit(None).cast("int")).orderBy("walk", key).limit(most_other)
+    order = F.when(F.col("verdict") == "ambiguous", 1).when(F.col("verdict") == "illegal", 2).otherwise(3)
+    other = other.withColumn("_o", F.struct(order.alias("band"), F.lit(0).alias("basis"), "score", key))
+    cols = [key, "part", "place", "band", "verdict", "why", "price", "risk", "score"]
+    placed = lambda df, part: df.withColumns({"part": F.lit(part), "place": F.row_number().over(Window.orderBy("_o"))}).select(*cols)
+    return placed(banded.orderBy("_o").limit(most_good), "legal").union(placed(other, "other")).crossJoin(F.broadcast(counts))  # one row
+
+
+def _scored(spark, d, n_points: int):
+    e = lambda i: F.get("embedding", i).cast("double")
+    points = network.within_radius(read(spark, d, "embeddings").select("vec_id", e(0).alias("x"), e(1).alias("y")), "x", "y", 0.0, 0.0, 0.15)
+    spans = read(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % n_points).alias("vec_id")).join(points, "vec_id")
+    rates = F.array(*[F.lit(r).cast("decimal(12,2)") for r in _RATES])
+    return score_results(spans.select("o_orderkey", (F.col("distance") * 3000).alias("metres")), _verdicts(spark, d), "o_orderkey", rates)
 
 
 @query(f"""WITH RECURSIVE {_BASE}{_VERDICTS},
@@ -38,11 +64,29 @@ def rank_results(spans: DataFrame, verdicts: DataFrame, key: str, rates: Column,
     SELECT o_orderkey, 'legal' AS part, band, verdict, why, price, risk, score FROM legal JOIN walked USING (i)
     UNION ALL SELECT * FROM (SELECT o_orderkey, 'other', NULL, verdict, why, price, risk, score FROM scored WHERE verdict <> 'legal' ORDER BY walk, o_orderkey LIMIT 200)""")
 def search_ranked(spark, d):
-    e = lambda i: F.get("embedding", i).cast("double")
-    points = network.within_radius(read(spark, d, "embeddings").select("vec_id", e(0).alias("x"), e(1).alias("y")), "x", "y", 0.0, 0.0, 0.15)
-    spans = read(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 500).alias("vec_id")).join(points, "vec_id")
-    rates = F.array(*[F.lit(r).cast("decimal(12,2)") for r in _RATES])
-    return rank_results(spans.select("o_orderkey", (F.col("distance") * 3000).alias("metres")), _verdicts(spark, d), "o_orderkey", rates, 100, 200)
+    rows = _scored(spark, d, 500)
+    best = rows.where("verdict = 'legal'").orderBy("score", "o_orderkey").limit(100)  # its SQL takes them before the bands; search_whole does not
+    ranked = rank_results(best.union(rows.where("verdict <> 'legal'")), "o_orderkey", 100, 200)
+    return ranked.select("o_orderkey", "part", "band", "verdict", "why", "price", "risk", "score")
+
+
+@query(f"""WITH RECURSIVE {_BASE}{_VERDICTS},
+    near AS (SELECT o_orderkey, sqrt(x * x + y * y) * 3000 AS metres FROM orders JOIN (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings) ON vec_id = o_orderkey % (SELECT count(*) FROM embeddings) WHERE sqrt(x * x + y * y) <= 0.15),
+    priced AS (SELECT o_orderkey, verdict, why, basis, metres * 1.3 / 1.34 / 60 AS walk,
+        CASE WHEN verdict = 'legal' THEN CASE WHEN charged_minutes > 0 THEN CAST(((2 * list_sum(list_transform(range(0, (charged_minutes + 59) // 60), lambda i: [500, 825, 1050][least(i + 1, 3)] * least(60, charged_minutes - i * 60))) + 60)::BIGINT // 120) / 100.0 AS DECIMAL(12, 2)) ELSE 0::DECIMAL(12, 2) END END AS price,
+        CAST(round((1 - coalesce(confidence, 1.0)::DECIMAL(9, 4)) * 32.5, 2) AS DECIMAL(12, 2)) AS risk FROM near JOIN verdicts USING (o_orderkey)),
+    scored AS (SELECT *, round(walk + coalesce(price::DOUBLE, 0) + risk::DOUBLE * 0.5, 6) AS score FROM priced),
+    legal AS (SELECT * FROM scored WHERE verdict = 'legal'),
+    walked AS (SELECT min(score) AS anchor, 0 AS band FROM legal UNION ALL SELECT min(l.score), w.band + 1 FROM walked w JOIN legal l ON l.score - w.anchor > 0.5 GROUP BY w.band),
+    banded AS (SELECT l.*, w.band FROM legal l ASOF JOIN walked w ON l.score >= w.anchor),
+    placed AS (SELECT 'legal' AS part, *, row_number() OVER (ORDER BY band, CASE basis WHEN 'posted' THEN 0 ELSE 1 END, score, o_orderkey) AS place FROM banded QUALIFY place <= 100),
+    others AS (SELECT 'other' AS part, *, NULL::INT AS band FROM scored WHERE verdict <> 'legal' ORDER BY walk, o_orderkey LIMIT 200),
+    both_parts AS (SELECT part, place, band, o_orderkey, verdict, why, price, risk, score FROM placed
+      UNION ALL SELECT part, row_number() OVER (ORDER BY CASE verdict WHEN 'ambiguous' THEN 1 WHEN 'illegal' THEN 2 ELSE 3 END, score, o_orderkey), band, o_orderkey, verdict, why, price, risk, score FROM others)
+    SELECT b.*, n.* FROM both_parts b, (SELECT count(*) FILTER (verdict = 'legal') AS n_legal, count(*) FILTER (verdict = 'illegal') AS n_illegal, count(*) FILTER (verdict = 'ambiguous') AS n_ambiguous,
+      count(*) FILTER (verdict = 'no_data') AS n_no_data, count(*) AS n_total FROM scored) n""")
+def search_whole(spark, d):
+    return rank_results(_scored(spark, d, read(spark, d, "embeddings").count()), "o_orderkey", 100, 200)
 
 
 def query_kind(text: Column) -> Column:
