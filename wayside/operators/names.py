@@ -63,24 +63,28 @@ def with_prefix(index: DataFrame, prefix: str) -> DataFrame:
     return index.where((F.col("token") >= prefix) & (F.col("token") < prefix[:-1] + chr(ord(prefix[-1]) + 1)))
 
 
-def match_rank(tokens: Column, words: Column) -> Column:
-    """4 whole (the words are the tokens), 3 prefix (token by token from the start), 2 leading (the
-    first token begins the first word), 1 inner; null unless every token begins some word."""
+def match_rank(tokens: Column, words: Column, any_leads: bool = True) -> Column:
+    """4 whole (the words are the tokens), 3 prefix (token by token from the start), 2 leading (a token,
+    or without any_leads the first one, begins the first word), 1 inner; null unless every token begins
+    some word."""
     every = F.forall(tokens, lambda t: F.exists(words, lambda w: F.startswith(w, t)))
     n = F.size(tokens)
     paired = F.zip_with(tokens, F.slice(words, 1, F.greatest(n, F.lit(1))), lambda t, w: F.coalesce(F.startswith(w, t), F.lit(False)))
-    rank = F.when(tokens == words, 4).when(F.forall(paired, lambda x: x), 3).when(F.startswith(F.get(words, 0), F.get(tokens, 0)), 2).otherwise(1)
+    leads = F.exists(tokens if any_leads else F.slice(tokens, 1, 1), lambda t: F.startswith(F.get(words, 0), t))
+    rank = F.when(tokens == words, 4).when(F.forall(paired, lambda x: x), 3).when(leads, 2).otherwise(1)
     return F.when(every, rank)
 
 
-def best_matches(queries: DataFrame, names: DataFrame, q: str, key: str, spelling: str, most: int) -> DataFrame:
+def best_matches(queries: DataFrame, names: DataFrame, q: str, key: str, spelling: str, most: int, any_leads: bool = True) -> DataFrame:
     """For each query the best spelling of each name, the first `most` names by (rank, length, text).
-    Names are met through the words their first token begins, so it is an equi-join on a prefix."""
-    width = 2
-    tokens = queries.withColumn("_t", F.split(q, " ")).withColumn("_p", F.substring(F.get("_t", 0), 1, width))
+    Names are met through the words their longest token begins: an equi-join on its first two letters,
+    or on its only one."""
+    longest = F.aggregate(F.split(q, " "), F.lit(""), lambda a, t: F.when(F.length(t) > F.length(a), t).otherwise(a))
+    tokens = queries.withColumn("_t", F.filter(F.split(q, " "), lambda t: t != "")).withColumn("_p", F.substring(longest, 1, 2)).where("_p <> ''")
     words = names.withColumn("_w", F.split(spelling, " "))
-    words = words.withColumn("_p", F.explode(F.array_distinct(F.transform("_w", lambda w: F.substring(w, 1, width)))))
-    rows = tokens.join(words, "_p").withColumn("rank", match_rank(F.col("_t"), F.col("_w"))).where("rank IS NOT NULL")
+    prefixes = F.flatten(F.transform("_w", lambda w: F.array(F.substring(w, 1, 1), F.substring(w, 1, 2))))
+    words = words.withColumn("_p", F.explode(F.array_distinct(prefixes)))
+    rows = tokens.join(words, "_p").withColumn("rank", match_rank(F.col("_t"), F.col("_w"), any_leads)).where("rank IS NOT NULL")
     best = rows.groupBy(q, key).agg(F.min_by(F.struct(spelling, "rank"), F.struct(-F.col("rank"), F.length(spelling), spelling)).alias("_b"))
     best = best.select(q, key, F.col(f"_b.{spelling}").alias(spelling), "_b.rank")
     w = Window.partitionBy(q).orderBy(F.desc("rank"), F.length(spelling), spelling, key)

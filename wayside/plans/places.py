@@ -54,6 +54,19 @@ _ASK_SQL = ", ".join(f"('{a}')" for a in _ASKED)
     SELECT q, p_partkey, p_name, rank, CAST(row_number() OVER o AS INT) AS place FROM r WINDOW o AS (PARTITION BY q ORDER BY rank DESC, length(p_name), p_name, p_partkey) QUALIFY row_number() OVER o <= 8""")
 def name_match_rank(spark, d):
     asked = spark.createDataFrame([(a,) for a in _ASKED], "q string")
+    return names.best_matches(asked, _names(spark, d), "q", "p_partkey", "p_name", 8, any_leads=False)  # as its SQL
+
+
+_ASKED_ALL = [*_ASKED, "r", "b 5", "b", "bolt re", "r b", "p st"]
+
+
+@query(f"""WITH n AS (SELECT p_name, min(p_partkey) AS p_partkey FROM part GROUP BY p_name), q(q) AS (VALUES {", ".join(f"('{a}')" for a in _ASKED_ALL)}),
+    m AS (SELECT q, p_partkey, p_name, string_split(q, ' ') AS t, string_split(p_name, ' ') AS w FROM q, n
+          WHERE list_bool_and(list_transform(string_split(q, ' '), lambda t: list_bool_or(list_transform(string_split(p_name, ' '), lambda w: starts_with(w, t)))))),
+    r AS (SELECT q, p_partkey, p_name, CASE WHEN t = w THEN 4 WHEN len(t) <= len(w) AND list_bool_and(list_transform(range(1, len(t) + 1), lambda i: starts_with(w[i], t[i]))) THEN 3 WHEN list_bool_or(list_transform(t, lambda x: starts_with(w[1], x))) THEN 2 ELSE 1 END AS rank FROM m)
+    SELECT q, p_partkey, p_name, rank, CAST(row_number() OVER o AS INT) AS place FROM r WINDOW o AS (PARTITION BY q ORDER BY rank DESC, length(p_name), p_name, p_partkey) QUALIFY row_number() OVER o <= 8""")
+def name_match_whole(spark, d):
+    asked = spark.createDataFrame([(a,) for a in _ASKED_ALL], "q string")
     return names.best_matches(asked, _names(spark, d), "q", "p_partkey", "p_name", 8)
 
 
