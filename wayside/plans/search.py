@@ -89,15 +89,20 @@ def search_whole(spark, d):
     return rank_results(_scored(spark, d, read(spark, d, "embeddings").count()), "o_orderkey", 100, 200)
 
 
+MAX_QUERY = 120
+
+
 def query_kind(text: Column) -> Column:
-    """struct(kind, a, b, number) of what someone typed: a ZIP code, a corner, an address, or a street."""
-    clean = F.trim(F.regexp_replace(F.regexp_replace(F.substring(text, 1, 120), r"[\p{Cntrl}]", " "), r"\s+", " "))
+    """struct(kind, a, b, number) of what someone typed: a ZIP code, a corner, an address, or a street;
+    null for a text of more than MAX_QUERY characters when cleaned."""
+    clean = F.trim(F.regexp_replace(F.regexp_replace(text, r"[\p{Cntrl}]", " "), r"\s+", " "))
     corner = F.split(clean, r"(?i)\s*&\s*|\s+(?:and|at)\s+", 2)
     number = F.regexp_extract(clean, r"^(\d{1,6})(?:-\d+)?[A-Za-z]?\s+\S", 1)
     rest = F.regexp_extract(clean, r"^\d{1,6}(?:-\d+)?[A-Za-z]?\s+(.*)$", 1)
     kind = F.when(clean.rlike(r"^\d{5}$"), "zip").when((F.size(corner) == 2) & (F.get(corner, 0) != "") & (F.get(corner, 1) != ""), "corner").when(number != "", "address").otherwise("street")
     a = F.when(kind == "corner", F.get(corner, 0)).when(kind == "address", rest).otherwise(clean)
-    return F.struct(kind.alias("kind"), names.fold(a).alias("a"), F.when(kind == "corner", names.fold(F.get(corner, 1))).alias("b"), F.when(kind == "address", number.try_cast("int")).alias("number"))
+    found = F.struct(kind.alias("kind"), names.fold(a).alias("a"), F.when(kind == "corner", names.fold(F.get(corner, 1))).alias("b"), F.when(kind == "address", number.try_cast("int")).alias("number"))
+    return F.when(F.length(F.upper(clean)) <= MAX_QUERY, found)
 
 
 _TYPED = {
