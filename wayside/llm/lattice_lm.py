@@ -61,7 +61,8 @@ class Vocabulary:
         for i in range(sp.get_piece_size()):
             if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)):
                 text = sp.id_to_piece(i).replace("▁", " ")
-                if text.strip() and text.lower() == text and " " not in text[1:]:  # others never match a marked word
+                # words are lower-cased in A-Z only and hold no ASCII white space: pieces with those never match
+                if not any("A" <= c <= "Z" or "\t" <= c <= "\r" for c in text) and " " not in text[1:]:
                     pieces.append(text.encode())
                     scores.append(sp.get_score(i))
         self.longest = max(map(len, pieces))
