@@ -3,7 +3,7 @@
 A document's set is its distinct 3-word shingles (k is a parameter), as 64-bit hashes. Documents with
 equal sets are one class from the start. A class has a signature of COORDINATES minima; it is posted
 under (coordinate, value) pairs. Two documents of the wanted similarity agree in at least
-matches_for() coordinates but for one link in some ten thousand, so they meet under one of their
+matches_for() coordinates but for two links in a million at most, so they meet under one of their
 COORDINATES - matches + 1 rarest pairs: only those are posted (the prefix), pairs that one class
 alone has are skipped, and lists of common values are never merged. Collisions of coordinates are
 then counted on the signatures, and pairs with as many matches are confirmed on the full sets.
@@ -22,6 +22,8 @@ Repeated rows are in one class.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +33,7 @@ from .common import among, cut, unused
 from .textblocks import hash_spans, mix, slices, texts_of, windows_of, word_bounds
 
 SHINGLE, COORDINATES, BLOCK = 3, 48, 1024
-MIN_PERCENT = 85
+MIN_PERCENT, MISSED = 85, 2e-6
 _U = np.uint64
 _RNG = np.random.default_rng(20240229)
 _XOR = _RNG.integers(0, 2**64, COORDINATES, np.uint64)
@@ -39,9 +41,11 @@ _MUL = _RNG.integers(0, 2**63, COORDINATES, np.uint64) * _U(2) + _U(1)
 
 
 def matches_for(percent: int) -> int:
-    """Coordinates that two sets of this similarity share but for four standard deviations."""
-    p = percent / 100
-    return max(1, round(COORDINATES * p - 4 * (COORDINATES * p * (1 - p)) ** 0.5))
+    """Coordinates that two sets of this similarity share but for a chance of at most MISSED."""
+    p, below, m = percent / 100, 0.0, 0
+    while m < COORDINATES and (below := below + math.comb(COORDINATES, m) * p**m * (1 - p) ** (COORDINATES - m)) <= MISSED:
+        m += 1
+    return max(1, m)
 
 
 def shingle_sets(column: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
