@@ -41,8 +41,8 @@ def anchored_bands(rows: DataFrame, group: str, key: str, score: str, width: flo
     exceeds the first of the current band by more than width.
 
     Bands depend on each other in a chain, so the walk steps from anchor to anchor over the distinct
-    scores of a group, in one fold; rows then look up their band. A group has as many distinct scores
-    as a result list has, not as a table has.
+    scores of a group, in one fold; rows then look up their band. All distinct scores of a group are in
+    one row: right for a result list, a risk to memory for a group of millions of scores.
     """
     scores = rows.groupBy(group).agg(F.array_sort(F.collect_set(score)).alias("_s"))
     zero = F.struct(F.lit(None).cast("double").alias("anchor"), F.array().cast("array<double>").alias("anchors"))
