@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 import zipfile
@@ -59,12 +58,15 @@ def unused(df: DataFrame, *names: str) -> list[str]:
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the session names, or a local one where it names none."""
+    """The checkpoint folder that the session names, which its driver and executors share. A session
+    without one is refused unless it runs in one process, as in tests: its warehouse folder serves."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         there = spark.conf.get("spark.checkpoint.dir", None)
-        if there is None:  # a local run, as in tests
-            there = os.path.join(tempfile.gettempdir(), "wayside-checkpoints")
+        if there is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            there = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         context.setCheckpointDir(there)
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -92,3 +94,24 @@ def cut(df: DataFrame) -> DataFrame:
     neither recompute it nor depend on the executors that made it."""
     _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: a key is hot if it has more than one in HOT_PART of all rows, so there are fewer than HOT_PART hot
+#: keys and their list can be sent to all tasks; each is dealt to SALTS groups
+HOT_PART, SALTS = 2000, 64
+
+
+def hot_keys(counts: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """The keys of counts (a row per key, with its number of rows n of total) that are hot."""
+    return written(counts.where(F.col(n) * HOT_PART > total).select(*keys))
+
+
+def salted_join(rows: DataFrame, other: DataFrame, keys: list[str], hot: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with other, in which a key occurs once, by shuffle. Rows of hot keys are dealt to
+    SALTS groups by the hash of the columns `by`, and their partner goes to each of these."""
+    s, h = unused(rows, "_salt", "_hot")
+    mark = F.broadcast(hot.withColumn(h, F.lit(True)))  # fewer than HOT_PART rows
+    deal = F.when(F.col(h), F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).otherwise(0)
+    every = F.explode(F.when(F.col(h), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    dealt = rows.join(mark, keys, "left").withColumn(s, deal).drop(h)
+    return dealt.join(other.join(mark, keys, "left").withColumn(s, every).drop(h), [*keys, s], how).drop(s)

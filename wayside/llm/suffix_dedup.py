@@ -17,9 +17,10 @@ pointers. Neighbours in the array that agree in STEP symbols are repeated window
 with more than BLOCK different pieces (a passage that very many documents hold begins or ends
 there), windows are compared by grouping in Spark instead, so no task holds them all.
 
-Texts that equal another are found by their digest: all their windows repeat. Matches never cross
-documents, and overlaps in one document count. Null text is empty. Shorter texts than WINDOW lose
-nothing. Rows that repeat are copies of each other. doc_id may be null and is only passed through.
+Texts are told apart by half of their SHA-256; those that equal another have windows that all repeat.
+Joins on cores and pieces deal the rows of a hot key to many groups. Matches never cross documents,
+and overlaps in one document count. Null text is empty. Shorter texts than WINDOW lose nothing. Rows
+that repeat are copies of each other. doc_id may be null and is only passed through.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import among, written
+from .common import among, hot_keys, salted_join, written
 from .textblocks import _INV, _POW, mix, slices, texts_of
 
 WINDOW, KGRAM, STEP, BLOCK = 400, 33, 23, 2000
@@ -172,7 +173,7 @@ def half_cores(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 data, off = texts_of(part["text"])
-                uid, out = part["uid"].to_numpy(), []
+                uid, out = part["uid"], []
                 for start, piece, ends in segments(data, off):
                     h = Hashes(piece)
                     at, lo, hi = anchors(piece, h, ends)
@@ -182,14 +183,15 @@ def half_cores(texts: DataFrame) -> DataFrame:
                         has = (at - lo >= half) if j else (at - hi < half)
                         a, d = (at - half * j)[has], shift[has]
                         key = mix(h.of(a, a + KGRAM + SPAN - half) + _U(j))
-                        out.append((uid[row[has]], at[has] + d, lo[has] + d, hi[has] + d, key.view(np.int64)))
+                        out.append((row[has], at[has] + d, lo[has] + d, hi[has] + d, key.view(np.int64)))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["uid", "at", "lo", "hi", "key"])
+                    rows, *numbers = (np.concatenate(c) for c in zip(*out, strict=True))
+                    yield pa.RecordBatch.from_arrays([uid.take(pa.array(rows)), *map(pa.array, numbers)], names=["uid", "at", "lo", "hi", "key"])
 
-    return texts.mapInArrow(apply, "uid long, at long, lo long, hi long, key long")
+    return texts.mapInArrow(apply, "uid binary, at long, lo long, hi long, key long")
 
 
-RECORD = "core_a long, core_b long, before binary, after binary, uid long, base long"
+RECORD = "core_a long, core_b long, before binary, after binary, uid binary, base long"
 
 
 def step_cores(texts: DataFrame) -> DataFrame:
@@ -224,7 +226,7 @@ def step_cores(texts: DataFrame) -> DataFrame:
                                 out.append((u, v, raw[x - m1 : x], raw[e : e + STEP - 1 - n1], uid[row], y + start))
                         i = k
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["core_a", "core_b", "before", "after", "uid", "base"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["core_a", "core_b", "before", "after", "uid", "base"])
 
     return texts.mapInArrow(apply, RECORD)
 
@@ -275,7 +277,9 @@ def sorted_masks(pieces: DataFrame) -> DataFrame:
         if held:
             yield solve(held)
 
-    rows = pieces.select("core_a", "core_b", "before", "after").repartition("core_a", "core_b").sortWithinPartitions("core_a", "core_b")
+    # a stated number of partitions: few bytes are much work here, so they must not be put together
+    parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = pieces.select("core_a", "core_b", "before", "after").repartition(parts, "core_a", "core_b").sortWithinPartitions("core_a", "core_b")
     return rows.mapInArrow(apply, "core_a long, core_b long, before binary, after binary, mask long")
 
 
@@ -285,24 +289,28 @@ def grouped_masks(pieces: DataFrame) -> DataFrame:
     rows = pieces.withColumn("m", F.explode(F.sequence(STEP - 1 - F.length("after"), F.length("before"))))
     window = F.concat(F.expr("substring(before, length(before) - m + 1, m)"), F.lit(b"|"), F.expr(f"substring(after, 1, {STEP - 1} - m)"))
     rows = rows.select(*key, "before", "after", "m", window.alias("window"))
-    often = rows.groupBy(*key, "m", "window").agg(F.count("*").alias("n")).where("n > 1")
-    found = rows.join(often, [*key, "m", "window"], "left_semi")
+    often = written(rows.groupBy(*key, "m", "window").agg(F.count("*").alias("n")).where("n > 1"))
+    total = often.agg(F.sum("n")).first()[0] or 0
+    hot = hot_keys(often, [*key, "m", "window"], "n", total)
+    found = salted_join(rows, often.drop("n"), [*key, "m", "window"], hot, ["before", "after"], "left_semi")
     return found.groupBy(*key, "before", "after").agg(F.expr("bit_or(shiftleft(1L, m))").alias("mask"))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", text.alias("text")).withColumns({"uid": F.xxhash64(F.sha2(F.col("text").cast("binary"), 256)), "n_bytes": F.octet_length("text").cast("long")})
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumns({"sha": F.sha2(F.col("text").cast("binary"), 256), "n_bytes": F.octet_length("text").cast("long")}).withColumn("uid", F.unhex(F.substring("sha", 1, 32)))
 
 
-def removals(docs: DataFrame) -> DataFrame:
+def removals(texts: DataFrame) -> DataFrame:
     """uid, runs: for each text with repeated windows, array of (base, mask); a window with m bytes
     before its core begins at base - m."""
-    texts = _texts(docs)
     halves = written(half_cores(texts.where(F.col("n_bytes") >= WINDOW).select("uid", "text")))
     place = F.xxhash64("uid", "at")
-    shared = halves.groupBy("key").agg(F.min(place).alias("p"), F.max(place).alias("q")).where("p <> q").select("key")
-    found = written(halves.join(shared, "key", "left_semi").select("uid", "at", "lo", "hi").distinct())
+    shared = halves.groupBy("key").agg(F.min(place).alias("p"), F.max(place).alias("q"), F.count("*").alias("n")).where("p <> q").select("key", "n")
+    shared = written(shared)
+    hot = hot_keys(shared, ["key"], "n", halves.count())
+    found = salted_join(halves, shared.select("key"), ["key"], hot, ["uid", "at"], "left_semi")
+    found = written(found.select("uid", "at", "lo", "hi").distinct())
     own = among(texts, found.select("uid").distinct())
     found = found.groupBy("uid").agg(F.collect_list(F.struct("at", "lo", "hi")).alias("found"))
     one = own.groupBy("uid").agg(F.min("doc_id").alias("doc_id"))  # a row for each text
@@ -310,14 +318,15 @@ def removals(docs: DataFrame) -> DataFrame:
     rows = own.select("uid", "doc_id", "text").join(found, (F.col("uid") == F.col("f_uid")) & F.col("doc_id").eqNullSafe(F.col("f_doc_id"))).select("uid", "text", "found")
     records = written(step_cores(rows))
     key = ["core_a", "core_b"]
-    pieces = records.groupBy(*key, "before", "after").agg(F.count("*").alias("n"))
-    cores = pieces.groupBy(*key).agg(F.count("*").alias("m")).where("m > 1")
+    piece = [*key, "before", "after"]
+    pieces = written(records.groupBy(*piece).agg(F.count("*").alias("n")))
+    cores = written(pieces.groupBy(*key).agg(F.count("*").alias("m")).where("m > 1"))
     twice = F.when(F.col("n") > 1, F.expr(f"shiftleft(1L, cast(length(before) + 1 AS int)) - shiftleft(1L, cast({STEP - 1} - length(after) AS int))"))
-    whole = pieces.where("n > 1").select(*key, "before", "after", twice.alias("mask"))
-    several = written(pieces.join(cores, key))
+    whole = pieces.where("n > 1").select(*piece, twice.alias("mask"))
+    several = written(salted_join(pieces, cores, key, hot_keys(cores, key, "m", pieces.count()), ["before", "after"]))
     masks = whole.unionByName(sorted_masks(several.where(F.col("m") <= BLOCK))).unionByName(grouped_masks(several.where(F.col("m") > BLOCK)))
-    masks = masks.groupBy(*key, "before", "after").agg(F.expr("bit_or(mask)").alias("mask")).where("mask <> 0")
-    hit = records.join(masks, [*key, "before", "after"]).select("uid", "base", "mask")
+    masks = masks.groupBy(*piece).agg(F.expr("bit_or(mask)").alias("mask")).where("mask <> 0")
+    hit = salted_join(records, masks, piece, hot_keys(pieces, piece, "n", records.count()), ["uid", "base"])
     return hit.groupBy("uid").agg(F.collect_list(F.struct("base", "mask")).alias("runs"))
 
 
@@ -334,34 +343,37 @@ def covered(n: int, runs: list[tuple[int, int]]) -> np.ndarray:
 
 
 def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with_text adds kept (binary)."""
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with_text adds kept (binary).
+    Texts are read again only where a part is cut out; a text that stays whole has its own digest."""
     texts = _texts(docs)
-    copies = texts.groupBy("uid").agg((F.count("*") > 1).alias("copied"))
-    state = written(copies.join(removals(docs), "uid", "left").where("copied OR runs IS NOT NULL"))
-    texts = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "uid", "text")
-    changed, ids = ["doc_id", "text", "copied", "runs"], state.select("uid")
-    rows = among(texts, ids).join(state, "uid").select(*changed)
-    same = among(texts, ids, "left_anti").withColumns({"copied": F.lit(False), "runs": F.lit(None).cast(state.schema["runs"].dataType)})
-    rows = rows.union(same.select(*changed))
+    long = texts.where(F.col("n_bytes") >= WINDOW)
+    groups = long.groupBy("uid").agg(F.count("*").alias("n"))
+    state = written(groups.join(removals(texts), "uid", "left").where("n > 1 OR runs IS NOT NULL"))
+    parts = state.where("n = 1").select("uid", "runs")
+    out = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] * with_text)]
+
+    wide = texts.select("doc_id", "uid", "n_bytes", "sha", *([F.col("text").cast("binary").alias("kept")] * with_text))
+    hot = hot_keys(state, ["uid"], "n", max(1, texts.count()))
+    marks = state.select("uid", (F.col("n") > 1).alias("copied"))
+    rows = salted_join(wide, marks, ["uid"], hot, ["doc_id"], "left").where("copied IS NULL OR copied")
+    gone, none = F.col("copied").isNotNull(), hashlib.sha256(b"").hexdigest()
+    rows = rows.withColumns({
+        "n_removed": F.when(gone, F.col("n_bytes")).otherwise(0), "n_spans": gone.cast("long"),
+        "kept_sha256": F.when(gone, F.lit(none)).otherwise(F.col("sha")), **({"kept": F.when(gone, F.lit(b"")).otherwise(F.col("kept"))} if with_text else {}),
+    })
 
     def apply(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                out = []
-                for doc_id, text, copied, runs in zip(*(part[c].to_pylist() for c in ("doc_id", "text", "copied", "runs")), strict=True):
+                made = []
+                for doc_id, text, runs in zip(*(part[c].to_pylist() for c in ("doc_id", "text", "runs")), strict=True):
                     raw = text.encode()
-                    n = len(raw)
-                    if copied and n >= WINDOW:
-                        gone, spans, kept = n, 1, b""
-                    elif runs and n >= WINDOW:
-                        hit = covered(n, [(r["base"], r["mask"]) for r in runs])
-                        gone, spans = int(hit.sum()), int(hit[0]) + int((hit[1:] & ~hit[:-1]).sum())
-                        kept = np.frombuffer(raw, np.uint8)[~hit].tobytes()
-                    else:
-                        gone, spans, kept = 0, 0, raw
-                    out.append((doc_id, n, gone, spans, hashlib.sha256(kept).hexdigest(), *([kept] * with_text)))
+                    hit = covered(len(raw), [(r["base"], r["mask"]) for r in runs])
+                    kept = np.frombuffer(raw, np.uint8)[~hit].tobytes()
+                    made.append((doc_id, len(raw), int(hit.sum()), int(hit[0]) + int((hit[1:] & ~hit[:-1]).sum()), hashlib.sha256(kept).hexdigest(), *([kept] * with_text)))
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types[: 5 + with_text], strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_text])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), types[: len(out)], strict=True)], names=out)
 
-    return rows.mapInArrow(apply, schema)
+    cut = among(texts.select("doc_id", "uid", "text"), parts.select("uid")).join(parts, "uid").select("doc_id", "text", "runs")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
+    return rows.select(*out).unionByName(cut.mapInArrow(apply, schema))
