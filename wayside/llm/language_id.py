@@ -3,9 +3,12 @@
 Embedded bytes pass through filters of several widths, a maximum over the window, a rectifier and a
 softmax. As bytes are discrete, a filter is kept as one table per position, the product of embedding
 and weights; a convolution is then a sum of table look-ups. The network is trained in numpy on a
-bounded sample of labelled rows: about ROWS_PER_LANG of each language, chosen by a hash of the id,
-never a row that `held_out` marks. A text is cut into windows of WINDOW bytes, all of them are
-scored, and their log probabilities are averaged by length.
+bounded sample of labelled rows: of each language the ROWS_PER_LANG rows with the smallest hashes of
+the id, or an equal share of MAX_ROWS where there are more than MAX_ROWS / ROWS_PER_LANG languages;
+never a row that `held_out` marks. Every language with a labelled row is learned. Of a sampled text,
+tasks cut windows over the whole length and send WINDOWS_PER_ROW of them, spread evenly from the
+first to the last, or all if it has no more. A text to predict is cut into windows of WINDOW bytes,
+all of them are scored, and their log probabilities are averaged by length.
 
 Null texts and texts without a letter are `und` with score 0, as is everything if no labelled row
 exists. Rows without a language are never learned from. Repeated rows get equal results.
@@ -17,14 +20,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold_of
+from .common import SENT_IDS, fold_of
 from .textblocks import slices, texts_of
 
 WINDOW, WIDTHS, FILTERS, DIM = 256, (2, 3, 4), 16, 8
-ROWS_PER_LANG, MAX_ROWS, MAX_LANGS, TRAIN_CHARS = 1500, 20_000, 200, 800
+ROWS_PER_LANG, MAX_ROWS, WINDOWS_PER_ROW = 1500, 20_000, 4
 UNKNOWN = "und"
 
 
@@ -67,15 +70,18 @@ def cut_windows(data: np.ndarray, off: np.ndarray, window: int = WINDOW) -> tupl
     return x, size, row
 
 
-def train(texts: list[str], langs: list[str], epochs: int = 8, batch: int = 64, rate: float = 0.004, seed: int = 7) -> Network | None:
-    """Fits the network with Adam on windows of the texts."""
-    names = sorted(set(langs))
+def spread(a: int, b: int, most: int = WINDOWS_PER_ROW) -> list[int]:
+    """At most so many of the numbers a to b - 1, from the first to the last, evenly."""
+    return sorted({*np.linspace(a, b - 1, min(most, b - a)).astype(int).tolist()})
+
+
+def train(x: np.ndarray, labels: list[str], epochs: int = 8, batch: int = 64, rate: float = 0.004, seed: int = 7) -> Network | None:
+    """Fits the network with Adam on windows x (rows of WINDOW bytes) and their languages."""
+    names = sorted(set(labels))
     if not names:
         return None
-    raw = [t.encode() for t in texts]
-    off = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
-    x, _, row = cut_windows(np.frombuffer(b"".join(raw), np.uint8), off)
-    y = np.array([names.index(v) for v in langs])[row]
+    number = {v: i for i, v in enumerate(names)}
+    y = np.array([number[v] for v in labels])
     rng = np.random.default_rng(seed)
     nf = FILTERS * len(WIDTHS)
     p = {"E": rng.normal(0, 0.5, (256, DIM)), "V": rng.normal(0, 0.1, (nf, len(names))), "c": np.zeros(len(names))}
@@ -125,19 +131,33 @@ def train(texts: list[str], langs: list[str], epochs: int = 8, batch: int = 64,
 
 
 def fit(docs: DataFrame, folds: int = 5, held_fold: int = 0) -> Network | None:
-    """Trains on the bounded sample: the middle TRAIN_CHARS characters of each sampled text."""
+    """Trains on the bounded sample of labelled rows."""
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold_of("doc_id", folds) != held_fold))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
-    if not counts:
+    rows = rows.select("lang", "text", F.xxhash64("doc_id").alias("k"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    langs = counts.count()
+    if not langs:
         return None
-    chance = F.lit(0.0)
-    for lang, n in counts.items():
-        chance = F.when(F.col("lang") == lang, F.lit(min(1.0, ROWS_PER_LANG / n))).otherwise(chance)
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6
-    middle = F.greatest(F.lit(1), (F.length("text") / 2 - TRAIN_CHARS / 2).cast("int"))
-    sample = rows.where(draw < chance).select("lang", F.xxhash64("doc_id").alias("k"), F.substring("text", middle, F.lit(TRAIN_CHARS)).alias("t"))
-    found = sample.orderBy("k", "lang", "t").limit(MAX_ROWS).collect()
-    return train([r["t"] for r in found], [r["lang"] for r in found])
+    most = max(1, min(ROWS_PER_LANG, MAX_ROWS // langs))
+    # twice as many as wanted pass a cut by hash, so few rows reach the exact one
+    chance = F.least(F.lit(1.0), (2 * most + 50) / F.col("n"))
+    rows = rows.join(F.broadcast(counts) if langs <= SENT_IDS else counts, "lang").where(F.pmod("k", F.lit(1 << 30)) / (1 << 30) < chance)
+
+    def cut(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                data, off = texts_of(part["text"])
+                x, _, row = cut_windows(data, off)
+                first = np.searchsorted(row, np.arange(part.num_rows + 1))
+                chosen = [spread(a, b) for a, b in zip(first[:-1], first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part["lang"], part["k"], pa.array([[x[i].tobytes() for i in c] for c in chosen], pa.list_(pa.binary()))], names=["lang", "k", "windows"])
+
+    found = rows.select("lang", "k", "text").mapInArrow(cut, "lang string, k long, windows array<binary>")
+    first = Window.partitionBy("lang").orderBy(F.pmod("k", F.lit(1 << 30)), "k", "windows")
+    found = found.withColumn("place", F.row_number().over(first)).where(F.col("place") <= most)
+    found = found.orderBy("place", "lang").collect()  # MAX_ROWS rows of WINDOWS_PER_ROW windows at most
+    x = np.frombuffer(b"".join(w for r in found for w in r["windows"]), np.uint8).reshape(-1, WINDOW)
+    return train(x, [r["lang"] for r in found for _ in r["windows"]])
 
 
 def predict(docs: DataFrame, network: Network | None) -> DataFrame:
