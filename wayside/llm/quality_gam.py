@@ -6,7 +6,8 @@ feature's look-up table; then the feature pairs that explain most of what is lef
 their own. A score is the sum of table entries through the logistic function.
 
 The model is trained on a bounded sample: at most MAX_ROWS labelled rows, those with the smallest
-hash of the id, never a row of the held-out fold. The label, language, source and id are no features.
+hash of the id, never a row of the held-out fold; where documents repeat an id, the first 2 * MAX_ROWS
+by that hash, the features and the label. The label, language, source and id are no features.
 Every row of every text is scored over its whole length. Null text is scored as the empty text.
 Null labels are not learned from; a document with several labels counts once for each. Without a
 usable label every score is the prior 0.5. Repeated rows get equal scores.
@@ -192,17 +193,16 @@ def train(x: np.ndarray, y: np.ndarray) -> Additive:
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int = 0) -> Additive:
     chosen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold_of("doc_id", folds) != held_fold))
     chosen = chosen.select("doc_id", F.col("quality").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(MAX_ROWS)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text")  # at most MAX_ROWS rows are sent
-    schema = "label int, f array<double>"
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", F.xxhash64("doc_id").alias("k"), "text")  # at most MAX_ROWS rows are sent
+    schema = "label int, k long, f array<double>"
 
     def apply(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 f = features_of(part["text"])
-                yield pa.RecordBatch.from_arrays([part["label"], pa.array(list(f), pa.list_(pa.float64()))], names=["label", "f"])
+                yield pa.RecordBatch.from_arrays([part["label"], part["k"], pa.array(list(f), pa.list_(pa.float64()))], names=["label", "k", "f"])
 
-    found = rows.mapInArrow(apply, schema).limit(2 * MAX_ROWS).toPandas()
-    found = found.iloc[np.lexsort(np.array([[v, *f[::-1]] for v, f in zip(found.label, found.f, strict=True)]).T)] if len(found) else found  # any order of arrival, one model
+    found = rows.mapInArrow(apply, schema).orderBy("k", "f", "label").limit(2 * MAX_ROWS).toPandas()
     return train(np.array(found.f.tolist()).reshape(len(found), len(FEATURES)), found.label.to_numpy(float))
 
 
