@@ -12,3 +12,15 @@ def test_two_links_in_a_million_at_most(percent):
     m, p, n = near_dedup.matches_for(percent), percent / 100, near_dedup.COORDINATES
     lost = lambda k: sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k))
     assert lost(m) <= 2e-6 < lost(m + 1)
+
+
+def test_a_list_with_few_strangers_costs_a_row_a_member(spark):
+    """20,000 near copies and one stranger under one value."""
+    n = 20_000
+    reps = spark.range(n + 1).withColumnRenamed("id", "rep")
+    classes = reps.selectExpr("rep", "array_repeat(cast(7 AS int), 48) AS sig", "200L AS n_shingles")
+    posted = reps.selectExpr("cast(shiftleft(3L, 32) | 7L AS long) AS key", "rep", "rep AS common")
+    roots = reps.where(f"rep > 0 AND rep < {n - 1}").selectExpr("rep AS node", "0L AS root")
+    rows = near_dedup.block_rows(posted, classes, roots, 1024).cache()
+    assert n <= rows.count() <= n + n // 512 and rows.where("stranger").select("rep").distinct().count() == 1
+    assert max(r["count"] for r in rows.groupBy("key", "i", "j").count().collect()) < 3 * 1024
