@@ -55,7 +55,7 @@ ORACLES = {
         l AS (SELECT doc_id, source, text, list_filter(parts, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
         e AS (SELECT doc_id, source, text, unnest(lines) AS line FROM l),
         n AS (SELECT *, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS same FROM e),
-        often AS (SELECT source, same FROM n GROUP BY source, same HAVING count(DISTINCT text) > 10),
+        often AS (SELECT source, same FROM n GROUP BY source, same HAVING count(DISTINCT doc_id) > 10),
         gone AS (SELECT n.doc_id, sum(len(regexp_extract_all(n.line, '[^\x20\x09-\x0D]+'))) AS words FROM n
                  JOIN often o ON n.source IS NOT DISTINCT FROM o.source AND n.same = o.same GROUP BY n.doc_id),
         w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d),
