@@ -8,22 +8,23 @@ holds more than one bucket, so a source with a third of all rows is spread over
 
 Sources are ordered by code point, null last, and weigh WEIGHTS, repeating. Targets share the total
 by weight; a source stops at `cap` times its size and its excess is reshared by weight among the
-rest. Null text has size 0; a source of size 0 gets nothing. Equal rows have equal keys: which of
-them is cut is of no consequence. Rows with a null id share a key, and are ordered by size.
+rest. Null text has size 0 and takes no budget; a source of size 0 gets nothing. Equal rows have equal
+keys: each counts by itself, and which of them is cut is of no consequence. Rows with a null id share
+a key, and are ordered by size. Rows of size 0 come with the epoch that reaches their place.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, unused
+from .common import WORD
 
 WEIGHTS, CAP, BUCKETS = (5, 2, 1), 3, 4096
 _NO_SOURCE = "~"
 
 
-def _sized(docs: DataFrame) -> DataFrame:
+def _sized(docs: DataFrame, *more: Column) -> DataFrame:
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     return docs.select(
         "doc_id",
@@ -31,6 +32,7 @@ def _sized(docs: DataFrame) -> DataFrame:
         key.alias("key"),
         F.substring(key, 1, 3).alias("bucket"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        *more,
     )
 
 
@@ -58,10 +60,9 @@ def source_budgets(buckets: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataF
     return sources.select("part", "source_size", target.alias("target")).withColumn("budget", F.floor(F.col("target") + 0.5).cast("long"))
 
 
-def mix_plan(docs: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
-    """doc_id, size, source_size, target, before (tokens of the source ahead of this row in key
-    order), taken (tokens the mix takes) and epochs (whole copies) of every row."""
-    rows = _sized(docs)
+def _placed(rows: DataFrame, weights, cap: int) -> DataFrame:
+    """rows (of _sized) with source_size, target, budget, before (tokens of the source ahead of this row
+    in key order), epochs (whole copies) and part_epoch (tokens of the last epoch)."""
     buckets = rows.groupBy("part", "bucket").agg(F.sum("size").alias("size"))
     ahead = Window.partitionBy("part").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = buckets.withColumn("ahead", F.coalesce(F.sum("size").over(ahead), F.lit(0))).drop("size")
@@ -69,22 +70,26 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     inside = Window.partitionBy("part", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.join(starts, ["part", "bucket"]).withColumn("before", F.col("ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     full = F.col("source_size") > 0
-    placed = placed.withColumns({
+    return placed.withColumns({
         "epochs": F.when(full, F.floor(F.col("budget") / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("long"),
         "part_epoch": F.when(full, F.pmod("budget", F.greatest("source_size", F.lit(1)))).otherwise(0),
     })
+
+
+def mix_plan(docs: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
+    """doc_id, size, source_size, target, before, part_epoch, epochs and taken (tokens the mix takes)
+    of every row."""
+    placed = _placed(_sized(docs), weights, cap)
     last = F.greatest(F.lit(0), F.least("size", F.col("part_epoch") - F.col("before")))
     return placed.select("doc_id", "size", "source_size", "target", "before", "part_epoch", "epochs", (F.col("epochs") * F.col("size") + last).cast("long").alias("taken"))
 
 
 def mix_documents(docs: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     """The mix itself, in the columns of docs: a row appears once for each time it is taken. Of the
-    row that the budget cuts, the text is taken whole if at least half of it is due. Rows of size 0
-    take no budget and appear once."""
-    plan = mix_plan(docs, weights, cap)
+    row that the budget cuts, the text is taken whole if at least half of it is due. Rows go through
+    the plan whole, in one exchange, so repeated rows and rows without an id count one by one."""
+    placed = _placed(_sized(docs, F.struct(*docs.columns).alias("row")), weights, cap)
     due = F.col("part_epoch") - F.col("before")
-    times = F.when(F.col("size") == 0, 1).otherwise(F.col("epochs") + (2 * due >= F.col("size")).cast("long"))
-    i, t = unused(docs, "_mix_id", "_mix_times")
-    counts = plan.groupBy(F.col("doc_id").alias(i)).agg(F.max(times).cast("int").alias(t)).where(F.col(t) > 0)
-    joined = docs.join(counts, F.col("doc_id").eqNullSafe(F.col(i)))
-    return joined.withColumn(t, F.explode(F.array_repeat(F.lit(0), F.col(t)))).select(*docs.columns)
+    times = (F.col("epochs") + (2 * due >= F.col("size")).cast("long")).cast("int")
+    taken = placed.where(F.col("source_size") > 0).select("row", F.explode(F.array_repeat(F.lit(0), times)))
+    return taken.select(*[F.col("row")[c].alias(c) for c in docs.columns])
