@@ -1,11 +1,14 @@
 """LM scoring by the subword lattice.
 
-The pieces of an existing vocabulary and the bytes are the arcs of a lattice over a word, its first
-arc beginning with the word mark; a word's probability is the sum over all segmentations of the
-product of piece probabilities, by a forward recursion in log space. A document's probability is the
-product over its words and of the end symbol. The vocabulary's own scores are the starting
-distribution; `PASSES` passes of expectation maximisation over the counts of all training words,
-with the start as a prior of PRIOR pieces, give the weights used.
+No installed vocabulary has unigram scores: the one used is a BPE file whose scores are merge ranks.
+Ranks order pieces by frequency but are no probabilities, so a rank law stands for the missing scores
+(passes=0 uses it alone) and `PASSES` passes of expectation maximisation over the counts of all
+training words, with the law as a prior of PRIOR pieces, turn it into unigram scores.
+
+The pieces of the vocabulary and the bytes are the arcs of a lattice over a word, its first arc
+beginning with the word mark; a word's probability is the sum over all segmentations of the product
+of piece probabilities, by a forward recursion in log space. A document's probability is the product
+over its words and of the end symbol.
 
 Words are counted over the whole corpus in Spark. A pass sums expected piece counts in tasks; the
 driver sees one number per piece of the vocabulary. Words are scored once each. Of the table of
@@ -31,7 +34,7 @@ from .common import fold_of, written
 from .textblocks import _BASE, _INV, _POW, _powers, hash_spans, mix, slices, texts_of, word_bounds
 
 PASSES, PRIOR, COMMON, HELD_FOLD = 3, 1000.0, 200_000, 1
-SLICE, WORDS_AT_ONCE = 8 << 20, 20_000
+SLICE, WORDS_AT_ONCE, KEPT_ARCS = 8 << 20, 20_000, 1024
 _U = np.uint64
 _MARK = 32  # the byte before a word; words have none
 
@@ -92,17 +95,24 @@ class Lattice:
         pw, inv = (_POW, _INV) if n < len(_POW) else (_powers(_BASE, n + 1), _powers(pow(_BASE, -1, 1 << 64), n + 1))
         total = np.zeros((m, n + 1), np.uint64)
         np.cumsum((words.astype(np.uint64) + _U(1)) * pw[:n], axis=1, out=total[:, 1:])
-        self.words, self.arcs = words, []
-        for j in range(1, n + 1):
-            i = np.arange(max(0, j - voc.longest), j)
-            h = mix((total[:, j : j + 1] - total[:, i]) * inv[i] + (j - i).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
-            self.arcs.append((i, voc.look_up(h)))
+        self.words, self.voc, self.total, self.inv = words, voc, total, inv
+        self.kept = [self._arcs(j) for j in range(1, n + 1)] if n <= KEPT_ARCS else None
+
+    def _arcs(self, j: int) -> tuple[np.ndarray, np.ndarray]:
+        i = np.arange(max(0, j - self.voc.longest), j)
+        h = mix((self.total[:, j : j + 1] - self.total[:, i]) * self.inv[i] + (j - i).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+        return i, self.voc.look_up(h)
+
+    def arcs(self, j: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, ids) of the arcs that end at byte j; those of very long words are not kept."""
+        return self.kept[j - 1] if self.kept else self._arcs(j)
 
     def forward(self, logs: np.ndarray) -> np.ndarray:
         m, n = self.words.shape
         alpha = np.zeros((m, n + 1))
         with_none = np.append(logs, -np.inf)  # id -1
-        for j, (i, ids) in enumerate(self.arcs, 1):
+        for j in range(1, n + 1):
+            i, ids = self.arcs(j)
             z = alpha[:, i] + with_none[ids]
             one = alpha[:, j - 1] + logs[self.words[:, j - 1]]
             top = np.maximum(z.max(axis=1), one)
@@ -117,7 +127,7 @@ class Lattice:
         beta[:, n] = 0
         with_none, out = np.append(logs, -np.inf), np.zeros(len(logs))
         for j in range(n, 0, -1):
-            i, ids = self.arcs[j - 1]
+            i, ids = self.arcs(j)
             z = with_none[ids] + beta[:, j : j + 1]
             one = logs[self.words[:, j - 1]] + beta[:, j]
             beta[:, i] = np.logaddexp(beta[:, i], z)
