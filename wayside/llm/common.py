@@ -58,15 +58,15 @@ def unused(df: DataFrame, *names: str) -> list[str]:
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the session names, which its driver and executors share. A session
-    without one is refused unless it runs in one process, as in tests: its warehouse folder serves."""
+    """The checkpoint folder that the session names, which its driver and executors share. Only a
+    session that runs in one process, as in tests, may leave it unset: then it is a local folder."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         there = spark.conf.get("spark.checkpoint.dir", None)
         if there is None:
             if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            there = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            there = f"{tempfile.gettempdir()}/wayside-checkpoints"
         context.setCheckpointDir(there)
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -78,12 +78,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: ids, 8 bytes each, that are sent to all tasks; where there are more, rows are joined by shuffle
+#: ids, 8 or 16 bytes each, that are sent to all tasks; where there are more, rows are joined by shuffle
 SENT_IDS = 1_000_000
 
 
 def among(rows: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """The rows whose key is among ids, a table of one long column (left_anti: is not). Up to SENT_IDS
+    """The rows whose key is among ids, a table of one narrow column (left_anti: is not). Up to SENT_IDS
     ids are counted and sent to the tasks, so that wide rows are not shuffled only to be dropped."""
     (key,) = ids.columns
     return rows.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, key, how)
