@@ -1,6 +1,7 @@
 """Operators without SQL against plain Python on small tables, round trips, held-out accuracy."""
 
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -11,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from wayside.llm import chat_format, lattice_lm, near_dedup, packing, suffix_dedup
+from wayside.llm import chat_format, exact_dedup, language_id, lattice_lm, near_dedup, packing, quality_gam, suffix_dedup
 from wayside.llm.queries import QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -53,8 +54,29 @@ def test_op9_edges(spark, block, monkeypatch):
     rows = [(1, passage), (2, text(90) + passage + text(120)), (3, text(33) + passage[100:650] + "é" + text(10)), (4, long), (5, long), (6, "ab" * 600), (7, "x" * 399), (8, None), (9, ""),
             (10, text(401)), (11, passage[:399]), (None, long[:500] + text(400)), (13, "z" * 200_000)] + [(20 + k, text(50) + passage[200:640] + text(60)) for k in range(6)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = sorted((tuple(r) for r in suffix_dedup.dedup(df).collect()), key=repr)
-    assert got == sorted(removed([(i, (t or "").encode()) for i, t in rows if i is not None] + [(-1, rows[11][1].encode())]), key=repr) or [g for g in got if g[0] is not None] == sorted([r for r in removed([(i if i is not None else -1, (t or "").encode()) for i, t in rows]) if r[0] != -1], key=repr)
+    got = sorted(tuple(r) if r.doc_id is not None else (-1, *tuple(r)[1:]) for r in suffix_dedup.dedup(df).collect())
+    assert got == removed([(-1 if i is None else i, (t or "").encode()) for i, t in rows])
+
+
+def test_op9_passages_just_under_and_over_the_window(spark):
+    """Passages of over 50 words: those of 399 bytes stay, those of 400 and more go, in copies with
+    different neighbours, in many partitions; the texts that are kept come out too."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7)))
+
+    def passage(n):
+        t = " ".join(word() for _ in range(n // 3))[: n - 1] + "."
+        assert len(t) == n and len(t.split()) > 50
+        return t
+
+    planted = {n: passage(n) for n in (394, 399, 400, 401, 405, 700)}
+    other = lambda: " ".join(word() for _ in range(rng.randrange(20, 60)))
+    rows = [(n * 10 + k, f"{other()}{k}{p}{k}{other()}") for n, p in planted.items() for k in range(5)] + [(k, other() * 2) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(12)
+    found = suffix_dedup.dedup(df, with_text=True).collect()
+    assert sorted(tuple(r)[:5] for r in found) == removed([(i, t.encode()) for i, t in rows])
+    assert {r.doc_id // 10 for r in found if r.n_removed} == {400, 401, 405, 700}
+    assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 and len(r.kept) == r.n_bytes - r.n_removed for r in found)
 
 
 def test_suffix_array():
@@ -115,9 +137,20 @@ def test_packing_plan_on_random_counts():
 
 
 def test_encoder_is_the_tokenizer():
+    """Chosen texts, every character that takes the faster way, and random mixtures."""
     e = packing.Encoder(packing.tokenizer_file())
-    for t in ["", "plain text, 12!", "naïve façade <|endoftext|> x", "日本語     x", "a\x1cb\x85c", "😀 emoji", "don't\r\n\tstop"]:
-        assert e.ids(t).tolist() == e.whole.encode(t, add_special_tokens=False).ids
+    whole = lambda t: e.whole.encode(t, add_special_tokens=False).ids
+    for t in ["", "plain text, 12!", "naïve façade <|endoftext|> x", "日本語     x", "a\x1cb\x85c", "😀 emoji", "don't\r\n\tstop"]:
+        assert e.ids(t).tolist() == whole(t)
+    plain = [chr(c) for c in range(0x3000) if packing.Encoder.PLAIN.fullmatch(chr(c))]
+    assert len(plain) > 90
+    for c in plain:
+        t = f"a{c}b {c}{c} 1{c} {c}s '{c}\n{c}"
+        assert e.ids(t).tolist() == whole(t), repr(c)
+    rng = random.Random(6)
+    for _ in range(1500):
+        t = "".join(rng.choice(plain) for _ in range(rng.randrange(1, 40)))
+        assert e.ids(t).tolist() == whole(t), t
 
 
 def test_op7_counts_and_lattice(spark, sf):
@@ -137,6 +170,38 @@ def test_op7_counts_and_lattice(spark, sf):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(words) + 1, sum(counts[w] > 0 for w in words) + 1, n)
         assert r.base_score == pytest.approx(sum(math.log10(counts[w] + 0.5) - below for w in words) + math.log10(trained + 0.5) - below)
         assert r.score < 0
+    # scores of whole documents: each word's lattice by itself, under the weights that the operator estimates
+    table = spark.createDataFrame([(w.encode(), c) for w, c in counts.items()], "word binary, c long")
+    logs, end = lattice_lm.estimate(table, trained, lattice_lm.vocabulary_file())
+    voc = lattice_lm.vocabulary(lattice_lm.vocabulary_file())
+
+    @functools.cache
+    def log_p(word: bytes) -> float:
+        raw = b" " + word
+        ways = [0.0] + [-math.inf] * len(raw)
+        for j in range(1, len(raw) + 1):
+            terms = [ways[j - 1] + logs[raw[j - 1]]]
+            for i in range(max(0, j - voc.longest), j):
+                k = voc.look_up(lattice_lm._hash_of([raw[i:j]]))[0]
+                if k >= 0:
+                    terms.append(ways[i] + logs[k])
+            ways[j] = max(terms) + math.log(sum(math.exp(x - max(terms)) for x in terms))
+        return ways[-1]
+
+    for r in sorted(scored, key=lambda r: (r.n_tokens, r.doc_id))[: len(scored) // 3]:
+        assert r.score == pytest.approx((sum(log_p(w.encode()) for w in WORD.findall(texts[r.doc_id].translate(LOWER))) + end) / math.log(10))
+
+
+def test_very_long_words_keep_no_arcs(monkeypatch):
+    voc = lattice_lm.vocabulary(lattice_lm.vocabulary_file())
+    logs, words = np.log(voc.start), pa.array([b"thatingand" * 30, b"x" * 300], pa.binary())
+    runs = []
+    for kept in (1024, 10):
+        monkeypatch.setattr(lattice_lm, "KEPT_ARCS", kept)
+        (_, lattice), = lattice_lm.lattices(words, voc)
+        assert (lattice.kept is None) == (kept == 10)
+        runs.append((lattice.forward(logs), lattice.expected(logs, np.ones(2))))
+    assert all(np.array_equal(a, b) for a, b in zip(*runs, strict=True))
 
 
 def test_lattice_sums_all_segmentations():
@@ -169,6 +234,84 @@ def test_held_out_accuracy(name, truth, least, spark, sf):
     assert sum(hits) >= least * len(hits) and all(0 <= r.score <= 1 for r in found)
 
 
+def test_op3_against_a_slow_network(spark, sf):
+    """Predictions of the query against a forward pass written out byte by byte."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    net = language_id.fit(docs)
+    found = {r.doc_id: r for r in QUERIES["op3_language_id"](spark, sf).collect()}
+    for i, t in sorted(documents(spark, sf), key=lambda r: len(r[1]))[:25]:
+        raw, got = t.encode(), found[i]
+        if not any(c.isalpha() for c in t):
+            assert (got.lang_pred, got.score) == ("und", 0)
+            continue
+        logs, probs = np.zeros(len(net.langs)), np.zeros(len(net.langs))
+        for at in range(0, len(raw), 256):
+            part = raw[at : at + 256]
+            x, pooled = part.ljust(256, b"\0"), []
+            for w in language_id.WIDTHS:
+                sums = [sum(net.tables[w][j][x[p + j]] for j in range(w)) for p in range(256 - w + 1)]
+                pooled += [max(0.0, float(max(s[f] for s in sums)) + float(net.bias[w][f])) for f in range(language_id.FILTERS)]
+            z = [sum(a * float(v) for a, v in zip(pooled, net.out[:, k], strict=True)) + float(net.out_bias[k]) for k in range(len(net.langs))]
+            total = math.log(sum(math.exp(v - max(z)) for v in z)) + max(z)
+            logs += [(v - total) * len(part) for v in z]
+            probs += [math.exp(v - total) * len(part) for v in z]
+        best = int(np.argmax(logs))
+        assert got.lang_pred == net.langs[best] and got.score == pytest.approx(probs[best] / len(raw), abs=1e-3)
+
+
+def test_op3_learns_from_the_ends_of_long_texts_and_from_all_languages(spark):
+    rng = random.Random(4)
+    filler = "0123456789 " * 300  # the middle of each text says nothing
+    rows = []
+    for k in range(240):  # more languages than any list of the common ones would hold
+        alphabet = [chr(0x4E00 + 40 * k + j) for j in range(40)]
+        say = lambda a=alphabet: "".join(rng.choice(a) for _ in range(80))
+        rows += [(len(rows) * 2 + j, say() + filler + say(), f"l{k:03d}") for j in range(2)]
+    net = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), held_fold=9)
+    assert net.langs == [f"l{k:03d}" for k in range(240)]
+    few = [(i, ("abcd " if i % 2 else "wxyz ") * 20 + filler + ("efgh " if i % 2 else "stuv ") * 20, "a" if i % 2 else "b") for i in range(60)]
+    df = spark.createDataFrame(few, "doc_id long, text string, lang string")
+    got = language_id.predict(spark.createDataFrame([(1, "abcd " * 30), (2, "wxyz " * 30), (3, "efgh " * 30), (4, "stuv " * 30)], "doc_id long, text string"), language_id.fit(df, held_fold=9))
+    assert {r.doc_id: r.lang_pred for r in got.collect()} == {1: "a", 2: "b", 3: "a", 4: "b"}
+
+
+def test_op8_is_a_sum_of_table_entries(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality_gam.fit(docs, labels)
+    found = {r.doc_id: r.score for r in quality_gam.classify(docs, labels).collect()}
+    for i, t in documents(spark, sf):
+        x = quality_gam.features_of(pa.array([t]))[0]
+        bins = [sum(v >= e for e in edges) for v, edges in zip(x, model.edges, strict=True)]
+        small = lambda f: bins[f] * quality_gam.PAIR_BINS // (len(model.edges[f]) + 1)  # noqa: E731, B023
+        z = model.bias + sum(table[b] for table, b in zip(model.tables, bins, strict=True)) + sum(table[small(f)][small(g)] for f, g, table in model.pairs)
+        assert found[i] == pytest.approx(1 / (1 + math.exp(-z)))
+
+
+def test_op8_repeated_ids_give_one_model(spark, monkeypatch):
+    monkeypatch.setattr(quality_gam, "MAX_ROWS", 8)
+    rng = random.Random(3)
+    rows = [(i % 6, " ".join(rng.choice(["good", "bad", "##", "word"]) for _ in range(rng.randrange(5, 60)))) for i in range(300)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    a, b = (quality_gam.fit(d, labels, held_fold=9) for d in (df.repartition(2), df.repartition(7, "text")))
+    assert all(np.array_equal(x, y) for x, y in zip(a.tables, b.tables, strict=True)) and a.bias == b.bias
+
+
+def test_runs_merge_sorted():
+    rng = np.random.default_rng(2)
+    runs = []
+    for _ in range(7):
+        keys = np.array([bytes([0] * 46) + bytes(rng.integers(0, 3, 2, np.uint8)) for _ in range(30)], "S48")
+        keys.sort()
+        runs.append(exact_dedup.collapse((keys, rng.integers(0, 99, 30), np.ones(30, np.int64))))
+    want = {}
+    for k, i, n in (e for r in runs for e in zip(*(v.tolist() for v in r), strict=True)):
+        best, total = want.get(k, (i, 0))
+        want[k] = (max(best, i), total + n)
+    keys, ids, sizes = exact_dedup.merge_all(runs)
+    assert list(zip(keys.tolist(), zip(ids.tolist(), sizes.tolist(), strict=True), strict=True)) == sorted(want.items())
+
+
 def test_near_duplicates_in_blocks(spark, monkeypatch):
     """Groups whose most typical member does not link all: components still equal brute force."""
     monkeypatch.setattr(near_dedup, "BLOCK", 8)

@@ -102,8 +102,8 @@ HOT_PART, SALTS = 2000, 64
 
 
 def hot_keys(counts: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
-    """The keys of counts (a row per key, with its number of rows n of total) that are hot."""
-    return written(counts.where(F.col(n) * HOT_PART > total).select(*keys))
+    """The keys of counts (a written table: a row per key, with its number of rows n of total) that are hot."""
+    return counts.where(F.col(n) * HOT_PART > total).select(*keys)
 
 
 def salted_join(rows: DataFrame, other: DataFrame, keys: list[str], hot: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
