@@ -16,8 +16,8 @@ stranger: outside its list's largest component. Members are dealt to blocks of a
 or BLOCK_BYTES of sets, strangers likewise, and every member block meets every stranger block, so a
 list of n members with few strangers costs about n rows. A task counts collisions of a block pair in
 numpy, confirms on the full sets it was given, and returns links that join components, at most one
-fewer than its classes. Rows of values, leaders and hubs that hold very many rows are dealt to many
-groups in every join.
+fewer than its classes. Every join on a value, a leader or a hub, which may hold very many rows, is
+followed by an exchange on other columns, so Spark may split its tasks (adaptive skew joins).
 
 Null, empty and blank texts have empty sets and are linked with nothing. Texts of fewer than k words
 have one shingle, the whole sequence. Rows with a null doc_id are linked with nothing and kept.
@@ -33,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_PART, among, cut, salted_join, unused
+from .common import among, cut, unused
 from .textblocks import hash_spans, mix, slices, texts_of, windows_of, word_bounds
 
-SHINGLE, COORDINATES, BLOCK, BLOCK_BYTES = 3, 48, 1024, 24 << 20
+SHINGLE, COORDINATES, BLOCK, BLOCK_BYTES = 3, 48, 1024, 8 << 20
 MIN_PERCENT, MISSED = 85, 2e-6
 _U = np.uint64
 _RNG = np.random.default_rng(20240229)
@@ -95,19 +95,13 @@ def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(apply, schema)
 
 
-def _hot(counts: DataFrame, key: str, total: int) -> DataFrame:
-    """Keys of counts (key, n) with more than one in HOT_PART of all rows: fewer than HOT_PART keys."""
-    return counts.where(F.col("n") * HOT_PART > total).select(key)
-
-
 def postings(classes: DataFrame, matches: int) -> DataFrame:
     """key, rep, common: the prefix postings of classes (rep, sig); common grows with how usual a
     class's values are."""
     each = classes.select("rep", F.posexplode("sig").alias("c", "v"))
     each = each.select("rep", F.shiftleft(F.col("c").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(0xFFFFFFFF)).alias("key"))
     shared = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    hot = _hot(shared, "key", COORDINATES * classes.count())
-    lists = salted_join(each, shared, ["key"], hot, ["rep"]).groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("found"))
+    lists = each.join(shared, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("found"))
     # values that no other class has are the rarest: they use up the prefix first
     room = F.size("found") - matches + 1
     prefix = F.expr(f"slice(found, 1, greatest(0, size(found) - {matches - 1}))")
@@ -121,11 +115,10 @@ def _matches(a: str, b: str):
 
 def star_pairs(posted: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
     """Distinct (a, b): each list's most typical class with every other, if enough coordinates collide."""
-    top = posted.groupBy("key").agg(F.max(F.struct("common", "rep")).alias("top"), F.count("*").alias("n")).select("key", F.col("top.rep").alias("a"), "n")
-    rows = salted_join(posted, top.select("key", "a"), ["key"], _hot(top, "key", posted.count()), ["rep"])
-    pairs = cut(rows.where("rep <> a").select("a", F.col("rep").alias("b")).distinct())
+    top = posted.groupBy("key").agg(F.max(F.struct("common", "rep")).alias("top")).select("key", F.col("top.rep").alias("a"))
+    pairs = posted.join(top, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
     sig = classes.select("rep", "sig")
-    pairs = salted_join(pairs, sig.toDF("a", "sig_a"), ["a"], _hot(pairs.groupBy("a").agg(F.count("*").alias("n")), "a", pairs.count()), ["b"])
+    pairs = pairs.join(sig.toDF("a", "sig_a"), "a")
     pairs = pairs.join(sig.toDF("b", "sig_b"), "b")
     return pairs.where(_matches("sig_a", "sig_b") >= matches).select("a", "b")
 
@@ -161,8 +154,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int = MIN_PERCENT) -> Da
             x, y = batch["set_a"].to_pylist(), batch["set_b"].to_pylist()
             yield batch.select(["a", "b"]).filter(pa.array([alike(np.frombuffer(u, np.uint64), np.frombuffer(v, np.uint64), percent) for u, v in zip(x, y, strict=True)], pa.bool_()))
 
-    hot = _hot(pairs.groupBy("a").agg(F.count("*").alias("n")), "a", pairs.count())
-    rows = salted_join(pairs.join(sets.toDF("b", "set_b"), "b"), sets.toDF("a", "set_a"), ["a"], hot, ["b"])
+    rows = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
     return rows.select("a", "b", "set_a", "set_b").mapInArrow(apply, "a long, b long").distinct()
 
 
@@ -178,11 +170,10 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = now
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        large = salted_join(both, least.drop("n"), ["u"], _hot(least, "u", 2 * now[0]), ["v"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = cut(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = salted_join(large, least.drop("n"), ["u"], _hot(least, "u", now[0]), ["v"]).select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("u", "m")).distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").union(least).distinct()
         edges = cut(small)
 
 
@@ -217,10 +208,10 @@ def _block_links(sig_x, mask_x, comp_x, sets_x, rep_x, other_x, sig_y, mask_y, c
 
 def block_rows(posted: DataFrame, classes: DataFrame, roots: DataFrame, block: int) -> DataFrame:
     """key, i, j, stranger (which side), other, rep, comp, sig, mask: what tasks (key, i, j) compare. A
-    member is in its block i with every stranger block j, a stranger in its block j with every i."""
-    top = posted.groupBy("key").agg(F.max(F.struct("common", "rep")).alias("top"), F.count("*").alias("n"))
-    hot = cut(_hot(top, "key", posted.count()))
-    rows = salted_join(posted, top.select("key", F.col("top.rep").alias("leader")), ["key"], hot, ["rep"]).where("rep <> leader")
+    member is in its block i with every stranger block j, a stranger in its block j with every i; in a
+    list of one block the members marked other are the strangers."""
+    top = posted.groupBy("key").agg(F.max(F.struct("common", "rep")).alias("top")).select("key", F.col("top.rep").alias("leader"))
+    rows = posted.join(top, "key").where("rep <> leader")
     mask = posted.groupBy("rep").agg(F.expr("bit_or(shiftleft(1L, cast(shiftright(key, 32) AS int)))").alias("mask"))
     own = classes.join(roots, classes["rep"] == roots["node"], "left").select("rep", F.coalesce("root", "rep").alias("comp"), "sig", (8 * F.col("n_shingles")).alias("bytes")).join(mask, "rep")
     rows = rows.select("key", "rep").join(own.select("rep", "comp", "bytes"), "rep")
@@ -228,11 +219,11 @@ def block_rows(posted: DataFrame, classes: DataFrame, roots: DataFrame, block: i
     held = held.groupBy("key").agg(F.max(F.struct("n", "comp", "bytes")).alias("most"), F.count("*").alias("comps"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).where("comps > 1")
     blocks = lambda n, size: F.greatest(F.ceil(n / block), F.ceil(size / BLOCK_BYTES)).cast("int")
     lists = held.select("key", F.col("most.comp").alias("largest"), blocks(F.col("n"), F.col("bytes")).alias("many"), blocks(F.col("n") - F.col("most.n"), F.col("bytes") - F.col("most.bytes")).alias("strange"))
-    rows = salted_join(rows, lists, ["key"], hot, ["rep"]).withColumn("other", F.col("comp") != F.col("largest"))
+    rows = rows.join(lists, "key").withColumn("other", F.col("comp") != F.col("largest"))
     place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     members = rows.withColumns({"i": place("many"), "stranger": F.lit(False)}).withColumn("j", each("strange"))
-    strangers = rows.where("other").withColumns({"j": place("strange"), "stranger": F.lit(True)}).withColumn("i", each("many"))
+    strangers = rows.where("other AND many > 1").withColumns({"j": place("strange"), "stranger": F.lit(True)}).withColumn("i", each("many"))
     out = ["key", "i", "j", "stranger", "other", "rep"]
     return members.select(*out).unionByName(strangers.select(*out)).join(own.drop("bytes"), "rep")
 
@@ -241,8 +232,7 @@ def remaining_links(posted: DataFrame, classes: DataFrame, roots: DataFrame, doc
     """Links between components that star_pairs did not see, (a, b)."""
     rows = cut(block_rows(posted, classes, roots, block))
     sets = cut(sets_of(docs, cut(rows.select("rep").distinct()), k))
-    hot = _hot(rows.groupBy("rep").agg(F.count("*").alias("n")), "rep", rows.count())
-    rows = salted_join(rows, sets, ["rep"], hot, ["key", "i", "j"])
+    rows = rows.join(sets, "rep")
 
     def group(table: pa.Table) -> pa.Table:
         get = lambda c: table[c].combine_chunks()
@@ -250,7 +240,7 @@ def remaining_links(posted: DataFrame, classes: DataFrame, roots: DataFrame, doc
         side, other, rep, comp, mask = (get(c).to_numpy(zero_copy_only=False) for c in ("stranger", "other", "rep", "comp", "mask"))
         sig = get("sig").flatten().to_numpy(zero_copy_only=False).reshape(-1, COORDINATES)
         members = [np.frombuffer(m, np.uint64) for m in get("members").to_pylist()]
-        s, t = np.flatnonzero(~side.astype(bool)), np.flatnonzero(side)
+        s, t = np.flatnonzero(~side.astype(bool)), np.flatnonzero(side if side.any() else other)
         of = lambda at: (sig[at], mask[at], comp[at], [members[v] for v in at], rep[at])
         found = [(rep[s[a]], rep[t[b]]) for a, b in _block_links(*of(s), other[s].astype(bool), *of(t), coordinate, percent, matches_for(percent))]
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
