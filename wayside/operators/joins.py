@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 
 def asof_interpolate(points: DataFrame, known: DataFrame, keys: list[str], at: str, value: str, widest: int) -> DataFrame:
     """points with before_at, after_at (nearest known places strictly below and above, of equal keys)
-    and interpolated: the value on the line between them if they are at most `widest` apart. One sort
-    per key serves both directions."""
+    and interpolated: the value on the line between them if they are at most `widest` apart. Two sorts
+    of a key's rows, each gone over once."""
     cols = [*keys, at]
     both = points.select(*cols, F.lit(None).cast("struct<a:bigint,v:double>").alias("_k")).withColumn("_p", F.lit(True))
     both = both.union(known.select(*cols, F.struct(F.col(at).cast("bigint").alias("a"), F.col(value).cast("double").alias("v")), F.lit(False)))
-    w = Window.partitionBy(*keys).orderBy(at)
-    low = F.max("_k").over(w.rangeBetween(Window.unboundedPreceding, -1))
-    high = F.min("_k").over(w.rangeBetween(1, Window.unboundedFollowing))
+    w, strictly = Window.partitionBy(*keys), (Window.unboundedPreceding, -1)  # running frames, up and down
+    low = F.max("_k").over(w.orderBy(F.asc(at)).rangeBetween(*strictly))
+    high = F.min("_k").over(w.orderBy(F.desc(at)).rangeBetween(*strictly))
     rows = both.withColumns({"_lo": low, "_hi": high}).where("_p")
     part = (F.col(at) - F.col("_lo.a")) / (F.col("_hi.a") - F.col("_lo.a"))
     near = F.col("_hi.a") - F.col("_lo.a") <= widest
@@ -25,8 +25,8 @@ def asof_interpolate(points: DataFrame, known: DataFrame, keys: list[str], at: s
 def nearest_key(points: DataFrame, known: DataFrame, keys: list[str], at: str) -> DataFrame:
     """points with the nearest known key, the lower one on a tie."""
     both = points.select(*keys, at, F.lit(True).alias("_p"), F.lit(None).cast("bigint").alias("_k")).union(known.select(*keys, at, F.lit(False), F.col(at).cast("bigint")))
-    w = Window.partitionBy(*keys).orderBy(at)
-    rows = both.withColumns({"_lo": F.max("_k").over(w.rangeBetween(Window.unboundedPreceding, 0)), "_hi": F.min("_k").over(w.rangeBetween(0, Window.unboundedFollowing))}).where("_p")
+    w, upto = Window.partitionBy(*keys), (Window.unboundedPreceding, 0)  # running frames, up and down
+    rows = both.withColumns({"_lo": F.max("_k").over(w.orderBy(F.asc(at)).rangeBetween(*upto)), "_hi": F.min("_k").over(w.orderBy(F.desc(at)).rangeBetween(*upto))}).where("_p")
     lower = F.col("_hi").isNull() | (F.col(at) - F.col("_lo") <= F.col("_hi") - F.col(at))
     return rows.select(*keys, at, F.when(F.col("_lo").isNotNull() & lower, F.col("_lo")).otherwise(F.col("_hi")).alias("nearest"))
 

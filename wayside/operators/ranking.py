@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: fixed values: metres a second, detour factor, fine in dollars, chance of a citation, decay of trust
@@ -40,17 +44,32 @@ def anchored_bands(rows: DataFrame, group: str, key: str, score: str, width: flo
     """group, key, score, band: in rising order of (score, key), a new band begins where the score
     exceeds the first of the current band by more than width.
 
-    Bands depend on each other in a chain, so the walk steps from anchor to anchor over the distinct
-    scores of a group, in one fold; rows then look up their band. All distinct scores of a group are in
-    one row: right for a result list, a risk to memory for a group of millions of scores.
+    Bands depend on each other in a chain, so a group's distinct scores are gone over in order, in one
+    streaming pass that holds a batch and the current anchor; rows then look up their score's band.
     """
-    scores = rows.groupBy(group).agg(F.array_sort(F.collect_set(score)).alias("_s"))
-    zero = F.struct(F.lit(None).cast("double").alias("anchor"), F.array().cast("array<double>").alias("anchors"))
-    walk = F.aggregate("_s", zero, lambda a, x: F.when(a["anchor"].isNull() | (x - a["anchor"] > width), F.struct(x.alias("anchor"), F.array_append(a["anchors"], x).alias("anchors"))).otherwise(a))
-    anchors = scores.select(group, F.posexplode(walk["anchors"]).alias("band", "_a"))
-    anchors = anchors.withColumn("_b", F.lead("_a").over(Window.partitionBy(group).orderBy("_a")))
-    inside = (F.col(score) >= F.col("_a")) & (F.col("_b").isNull() | (F.col(score) < F.col("_b")))
-    return rows.join(anchors, group).where(inside).select(group, key, score, "band")
+    scores = rows.select(group, F.col(score).cast("double").alias("_s")).where(F.col("_s").isNotNull()).distinct()
+    kind = scores.schema[group].dataType.simpleString()
+
+    def apply(batches):
+        now, anchor, band = None, None, 0
+        for batch in batches:
+            names, values, out = batch[group].to_pylist(), batch["_s"].to_numpy(), np.empty(batch.num_rows, np.int32)
+            edges = [i for i in range(len(names)) if i == 0 or names[i] != names[i - 1]] + [len(names)]
+            for a, b in pairwise(edges):
+                if anchor is None or names[a] != now:
+                    now, anchor, band = names[a], values[a], 0
+                while a < b:  # from a, the scores that the current band holds
+                    end = a + int(np.searchsorted(values[a:b] - anchor > width, True))
+                    out[a:end] = band
+                    if end < b:
+                        anchor, band = values[end], band + 1
+                    a = end
+            yield pa.RecordBatch.from_arrays([batch[group], batch["_s"], pa.array(out)], names=[group, "_s", "band"])
+
+    ordered = scores.repartition(group).sortWithinPartitions(group, "_s")
+    bands = ordered.mapInArrow(apply, f"`{group}` {kind}, _s double, band int")
+    joined = rows.withColumn("_s", F.col(score).cast("double")).join(bands, [group, "_s"])
+    return joined.select(group, key, score, "band")
 
 
 def split_and_cap(rows: DataFrame, good: Column, score: str, near: str, key: str, most_good: int, most_other: int) -> DataFrame:

@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 def neighbours(posts: DataFrame, face: list[str], family: str, at: str) -> DataFrame:
     """posts with same_before, same_after (nearest post of the family strictly before or after) and
     any_before, any_after (of another family)."""
-    same = Window.partitionBy(*face, family).orderBy(at)
-    every = Window.partitionBy(*face).orderBy(at)
-    before, after = (Window.unboundedPreceding, -1), (1, Window.unboundedFollowing)
+    up, down = F.col(at).asc(), F.col(at).desc()
+    strictly = (Window.unboundedPreceding, -1)  # running frames in both directions: a face of n posts costs n
+    near = lambda keys, order, pick: pick(at).over(Window.partitionBy(*keys).orderBy(order).rangeBetween(*strictly))
     return posts.withColumns({
-        "same_before": F.max(at).over(same.rangeBetween(*before)), "same_after": F.min(at).over(same.rangeBetween(*after)),
-        "any_before": F.max(at).over(every.rangeBetween(*before)), "any_after": F.min(at).over(every.rangeBetween(*after)),
+        "same_before": near([*face, family], up, F.max), "any_before": near(face, up, F.max),
+        "same_after": near([*face, family], down, F.min), "any_after": near(face, down, F.min),
     })
 
 
@@ -57,9 +57,15 @@ def flatten(spans: DataFrame, face: list[str], member: str, start: str = "span_s
     """Overlapping spans of a face as pieces that don't overlap, each with the sorted set of members
     that cover it; neighbours with equal sets are one piece. Uncovered stretches are left out."""
     edges = spans.select(*face, F.explode(F.array(start, end)).alias("t")).distinct()
-    atoms = edges.select(*face, F.col("t").alias("a"), F.lead("t").over(Window.partitionBy(*face).orderBy("t")).alias("b")).where("b IS NOT NULL")
-    covered = atoms.join(spans.select(*face, F.col(member).alias("m"), F.col(start).alias("s"), F.col(end).alias("e")), face).where("s <= a AND e >= b AND s < e")
-    sets = covered.groupBy(*face, "a", "b").agg(F.array_sort(F.collect_set("m")).alias("members"))
+    order = Window.partitionBy(*face).orderBy("t")
+    edges = edges.withColumns({"_i": F.row_number().over(order), "b": F.lead("t").over(order)})
+    # a span covers the pieces from its start's number to the one before its end's: work goes with the output
+    first = edges.select(*face, F.col("t").alias("s"), F.col("_i").alias("_from"))
+    last = edges.select(*face, F.col("t").alias("e"), F.col("_i").alias("_to"))
+    held = spans.select(*face, F.col(member).alias("m"), F.col(start).alias("s"), F.col(end).alias("e")).where("s < e")
+    held = held.join(first, [*face, "s"]).join(last, [*face, "e"]).select(*face, "m", F.explode(F.sequence("_from", F.col("_to") - 1)).alias("_i"))
+    sets = held.groupBy(*face, "_i").agg(F.array_sort(F.collect_set("m")).alias("members"))
+    sets = sets.join(edges, [*face, "_i"]).select(*face, F.col("t").alias("a"), "b", "members")
     w = Window.partitionBy(*face).orderBy("a")
     starts = F.when((F.lag("b").over(w) == F.col("a")) & (F.lag("members").over(w) == F.col("members")), 0).otherwise(1)
     runs = sets.withColumn("_new", starts).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
