@@ -21,27 +21,52 @@ HEADS = {
     "NO STOPPING": ("stop", False, "all", False, False),
     "AVO": ("park", True, "authorized", True, False),
     "AUTHORIZED VEHICLES ONLY": ("park", True, "authorized", True, False),
+    "AUTHORIZED VEHICLE ONLY": ("park", True, "authorized", True, False),
     "LICENSE PLATES ONLY": ("park", True, "authorized", True, False),
     "PERMITS ONLY": ("park", True, "authorized", True, False),
+    "VEHICLES WITH PERMIT ONLY": ("park", True, "authorized", True, False),
     "FIRE ZONE": ("stand", True, "authorized", True, False),
     "AMBULANCE ONLY": ("stand", True, "authorized", True, False),
+    "AMBULETTE ONLY": ("stand", True, "authorized", True, False),
+    "AMBULANCE AMBULETTE ONLY": ("stand", True, "authorized", True, False),
+    "SECURITY CHECKPOINT": ("stand", True, "authorized", True, False),
+    "CHECKPOINT": ("stand", True, "authorized", True, False),
     "COMMERCIAL VEHICLES ONLY": ("park", True, "commercial", True, False),
-    "TRUCK LOADING ONLY": ("stand", True, "truck", True, False),
-    "HOTEL LOADING ZONE": ("stand", True, "other", True, False),
     "LOADING ONLY": ("stand", True, "commercial", True, False),
     "LOADING ZONE": ("stand", True, "commercial", True, False),
+    "TRUCK LOADING ONLY": ("stand", True, "truck", True, False),
+    "TRUCKS LOADING ONLY": ("stand", True, "truck", True, False),
+    "TRUC LOADING ONLY": ("stand", True, "truck", True, False),
+    "TRUCK WAITING LINE": ("stand", True, "truck", True, False),
     "BUS STOP": ("stand", True, "bus", True, False),
+    "BUS STOP SIGN": ("stand", True, "bus", True, False),
     "BUS STAND": ("stand", True, "bus", True, False),
     "BUS LAYOVER ONLY": ("stand", True, "bus", True, False),
     "BUSES ONLY": ("stand", True, "bus", True, False),
-    "TAXI RELIEF STAND": ("stand", True, "taxi", True, False),
+    "BUSES WITH PERMIT ONLY": ("stand", True, "bus", True, False),
     "TAXI STAND": ("stand", True, "taxi", True, False),
+    "TAXI RELIEF STAND": ("stand", True, "taxi", True, False),
+    "TAXI FHV STAND": ("stand", True, "taxi", True, False),
+    "TAXI/FHV STAND": ("stand", True, "taxi", True, False),
+    "TAXI/FHV RELIEF STAND": ("stand", True, "taxi", True, False),
+    "FOR-HIRE VEHICLES ONLY": ("stand", True, "taxi", True, False),
     "FOR HIRE VEHICLES ONLY": ("stand", True, "taxi", True, False),
     "PICK-UP/DROP-OFF ONLY": ("stand", True, "taxi", True, False),
+    "PICK-UP DROP-OFF ONLY": ("stand", True, "taxi", True, False),
+    "TAXI/FHV PICK-UP/DROP-OFF ONLY": ("stand", True, "taxi", True, False),
+    "PRE-ARRANGED SERVICE ONLY": ("stand", True, "taxi", True, False),
+    "WAITING LINE": ("stand", True, "other", True, False),
+    "HOTEL LOADING ZONE": ("stand", True, "other", True, False),
     "FARMERS MARKET ONLY": ("stand", True, "other", True, False),
+    "FLEA MARKET LOADING ONLY": ("stand", True, "other", True, False),
+    "HORSE DRAWN CABS ONLY": ("stand", True, "other", True, False),
+    "COMMUTER VAN STOP": ("stand", True, "other", True, False),
+    "AUTHORIZED COMMUTER VANS ONLY": ("stand", True, "other", True, False),
+    "MICROHUB ZONE": ("stand", True, "other", True, False),
     "CARSHARE PARKING ONLY": ("park", True, "other", True, False),
     "MOTORCYCLE PARKING ONLY": ("park", True, "other", True, False),
     "ELECTRIC VEHICLE CHARGING ONLY": ("park", True, "other", True, False),
+    "ELECTRIC VEHICLES CHARGING ONLY": ("park", True, "other", True, False),
     "METERS ARE NOT IN EFFECT ABOVE TIMES": ("park", True, "all", False, True),
     "LIMITED PARKING IS NOT IN EFFECT ABOVE TIMES": ("park", True, "all", False, True),
 }
@@ -51,7 +76,29 @@ LIMITS = {
     "MMP": (True, 1), "MINUTE PARKING": (False, 1), "MIN PARKING": (False, 1),
 }
 #: fixed values: words that say nothing about the kerb
-RIDERS = ["TEMPORARY CONSTRUCTION REGULATION", "SPECIAL NIGHT REGULATION", "NIGHT REGULATION", "CONSTRUCTION", "ANYTIME", "ALL TIMES", "OTHER TIMES", "ROUTES", "IN TUNNEL", "NO ENGINE IDLING", "HOLIDAYS?", "SEE", "RIDER", "FOR", "&", "W/\\d+"]
+RIDERS = [
+    "TEMPORARY CONSTRUCTION REGULATION", "CONSTRUCTION", "SPECIAL NIGHT REGULATION", "NIGHT REGULATION", "IN TUNNEL", "NO ENGINE IDLING", "MAX FINE", "LICENSE PLATES",
+    "DECALS ONLY", "DELIVERY DECAL REQUIRED", "ROUTES?", "REVISED", "REVISION", "DATED", "ANYTIME", "ALL TIMES", "OTHER TIMES", "OTHERS", "HOLIDAYS?", "SEE", "RIDER", "FOR", "&",
+    "ES", "IF", "NECESSARY", "REV", "SIZE", "SUPERSEDES?", "SUPERSEDED?", "\\d+ (?:HOUR|HR) LIMIT",
+]
+#: fixed values: drafting marks, as patterns of a whole word
+MARKS = [r"W/\d+", r"#\d+", r"\$[\dX]+", r"REV\.?#?\d*", r"-?\d{1,4}[-/.]\d{1,4}(?:[-/.]\d{2,4})?", r"-\d+", r"[A-Z]{1,6}\d*-[A-Z0-9.#-]+", r"\d+[\"']X?"]
+#: fixed values: misspellings of EXCEPT
+EXCEPT = "(?:EXCEPT|EXEPT|EXCPET|EXECPT)"
+#: fixed values: what shows that a text states no rule of the kerb, before it is read, in order
+TEMPLATE = r"\bXYY\b|\bZZZ\b|XX:XX|\bXXXX\b|\b999999\b|\bTO BE (?:SPECIFIED|DET)"
+PANELS = {
+    "panel:pay_by_cell": r"PAY-BY-(?:CELL|APP)|PARKNYC APP|MUNI-METER|PARKING CARD",
+    "panel:mta_route": r"\b(?:ROUTE|DESTINATION) PANEL\b|\bBUS RIDER\b",
+    "panel:location": r"\bLOCATION PANEL\b",
+    "panel:parking_geometry": r"\b(?:ANGLE|DEG|PARALLEL) PARKING ONLY\b",
+}
+#: fixed values: advice that counts only where no rule was found
+ADVICE = [
+    "KEEP (?:LEFT|RIGHT)", "MUST EXIT", "NEXT (?:LEFT|RIGHT)", "NO TRESPASSING", "SLIPPERY", "REVERSE CURVE", "DELINEATOR", "IDLING LAW", "NO ENGINE IDLING", "WEIGHT LIMIT",
+    "INFORMATION (?:SIGN|BOX)", "PLAZA RULES", "OPEN STREETS", "DISPATCHERS", "COMPLAINTS", "CHARGING (?:SIGN|STATION)", "MICROHUB SIGN", "NO (?:TRUCKS|BUSES)", "CODING RIDER",
+    "TEMPORARY CONSTRUCTION REGULATION", "DESCRIPTION NOT AVAILABLE", "GREENWAY",
+]
 #: fixed values: drawn symbols that a parenthesis names
 SYMBOL_NAMES = ["MOON", "STARS?", "TRUCKS?", "BUS", "HANDICAP", "TAXI", "HORSE", "DRAWN", "CAB", "BIKE", "CAR", "VAN", "&"]
 #: fixed values
@@ -118,7 +165,7 @@ def read_signs(df: DataFrame, text: str) -> DataFrame:
     texts give none."""
     rows = df.select(text).where(F.col(text).isNotNull()).distinct()
     short = F.when(F.length(text) <= MAX_CHARS, F.col(text)).otherwise("")
-    up = F.upper(F.regexp_replace(short, r"[^ -~]", " "))
+    up = F.regexp_replace(F.upper(F.regexp_replace(short, r"[^ -~]", " ")), r"\bNO (STANDING|PARKING|STOPPING)(?=[A-Z])", "NO $1 ")
     inside = F.array_join(F.regexp_extract_all(up, F.lit(r"\(([^()]*)\)?"), F.lit(1)), " ")
     bare = F.regexp_replace(up, r"\(?\s*(?:W/\s*)?SINGLE\s+ARROW\s*\)?|W/\s*\d+M?\s*O'CLOCK\s+ARROW|\(\s*ARROW\s*\)|<-+>?|-+>", " ")
     bare = F.regexp_replace(bare, rf"(?:\b(?:{'|'.join(s for s in SYMBOL_NAMES if s != '&')})\s+|&\s+)*\([^()]*(?:SYMBO|LOGO|BROOM)[^()]*\)?", " ")
@@ -128,7 +175,7 @@ def read_signs(df: DataFrame, text: str) -> DataFrame:
         up.contains("CONSTRUCTION").alias("temporary"), F.trim(F.regexp_replace(bare, r"\s+", " ")).alias("_t"),
     )
     parts = F.split(F.regexp_replace("_t", _HEAD, "~$1"), "~")
-    rows = rows.withColumn("_lead", F.trim(F.get(parts, 0))).select("*", F.posexplode_outer(F.when(F.size(parts) > 1, F.slice(parts, 2, 100))).alias("ordinal", "_p"))
+    rows = rows.withColumn("_lead", F.trim(F.get(parts, 0))).select("*", F.posexplode_outer(F.when(F.size(parts) > 1, F.slice(parts, 2, F.size(parts) - 1))).alias("ordinal", "_p"))
     # a reservation after a limit qualifies it: one rule with the limit's times
     w = Window.partitionBy(text).orderBy("ordinal")
     after = F.lead("_p").over(w)
@@ -148,11 +195,11 @@ def read_signs(df: DataFrame, text: str) -> DataFrame:
     p = F.col("_p")
     times = F.regexp_extract_all(body, F.lit(_TIMES), F.lit(0))
     rest = body
-    for pattern in (_SEASON, _TIMES, r"EXCEPT SUNDAY|INCLUDING SUNDAY|SCHOOL DAYS|ALL DAYS|7 DAYS", rf"\b{_DAY}\s*(?:-|THRU|THROUGH|TO)\s*{_DAY}\b", rf"\b{_DAY}\b", r"\bEXCEPT .*", *(rf"(?<!\w){r}(?!\w)" for r in RIDERS)):
+    for pattern in (_SEASON, _TIMES, r"EXCEPT SUNDAY|INCLUDING SUNDAY|SCHOOL DAYS|ALL DAYS|7 DAYS", rf"\b{_DAY}\s*(?:-|THRU|THROUGH|TO)\s*{_DAY}\b", rf"\b{_DAY}\b", rf"\b{EXCEPT} .*", *(rf"(?<!\w){r}(?!\w)" for r in RIDERS), rf"(?<!\S)(?:{'|'.join(MARKS)})(?!\S)"):
         rest = F.regexp_replace(rest, pattern, " ")
     lead = F.col("_lead")
-    for r in RIDERS:
-        lead = F.regexp_replace(lead, rf"(?<!\w){r}(?!\w)", " ")
+    for r in (*RIDERS, *MARKS):
+        lead = F.regexp_replace(lead, rf"(?<![\w-]){r}(?![\w-])", " ")
     exclusive = F.coalesce(head("e", False), F.lit(False))
     unread = (F.trim(F.regexp_replace(rest, r"[^A-Z0-9]+", " ")) != "") & ~exclusive | (F.trim(lead) != "") & ~exclusive
     rows = rows.select(
@@ -169,6 +216,41 @@ def read_signs(df: DataFrame, text: str) -> DataFrame:
     return out.drop("_time", "_unread")
 
 
+def panel_class(text: Column) -> Column:
+    """The kind of a sign that states no rule, by its words alone; null if it may state one. A blank
+    template that names a rule does state one, of unknown days."""
+    up = F.upper(F.coalesce(text, F.lit("")))
+    bare = F.trim(F.regexp_replace(F.regexp_replace(up, r"\([^()]*\)?|<?-+>?", " "), r"[^A-Z0-9]+", " "))
+    kind = F.when(bare == "", F.when(up.contains("SUPERSED"), "panel:supersedes_only").otherwise("panel:blank"))
+    kind = kind.when(up.rlike(TEMPLATE), F.when(~up.rlike("|".join(rf"\b{h}\b" for h in HEADS)), "panel:template"))
+    for label, pattern in PANELS.items():
+        kind = kind.when(up.rlike(pattern), label)
+    return kind
+
+
+def sign_readings(df: DataFrame, text: str) -> DataFrame:
+    """A row per distinct text: panel (its kind, if it states no rule), outcome (panel, full, partial,
+    unparsed), family_action (the most restrictive prohibition for a passenger car, else park, else
+    null; rules that only qualify others don't count) and arity (double, single, none; null without a
+    rule)."""
+    rank = F.when(F.col("action") == "stop", 3).when(F.col("action") == "stand", 2).otherwise(1)
+    stated = F.col("action").isNotNull()
+    says = F.when(stated & ~F.col("meta"), F.when(F.col("vehicle").isin("all", "passenger"), F.col("permitted")).when(F.col("exclusive"), False))
+    rows = read_signs(df, text).groupBy(text).agg(
+        F.max_by("action", F.when(~says, rank)).alias("_no"), F.bool_or(says).alias("_yes"), F.bool_or(stated).alias("_rule"), F.min("confidence").alias("_least"),
+        F.max(F.when(stated, F.when(F.col("arrow") == "both", 3).when(F.col("arrow") == "one", 2).otherwise(1))).alias("_arrow"),
+    )
+    advice = F.when(~F.col("_rule") & F.upper(text).rlike("|".join(rf"\b{a}\b" for a in ADVICE)), "panel:advisory")
+    rows = rows.withColumn("panel", F.coalesce(panel_class(F.col(text)), advice))
+    free = F.col("panel").isNull()
+    return rows.select(
+        text, "panel",
+        F.when(~free, "panel").when(~F.col("_rule") | (F.col("_least") == 0), "unparsed").when(F.col("_least") < 1, "partial").otherwise("full").alias("outcome"),
+        F.when(free, F.when(F.col("_no").isNotNull(), F.concat(F.lit("no-"), "_no")).when(F.col("_yes"), "park")).alias("family_action"),
+        F.when(free, F.when(F.col("_arrow") == 3, "double").when(F.col("_arrow") == 2, "single").when(F.col("_arrow") == 1, "none")).alias("arity"),
+    )
+
+
 def hour_rates(text: Column) -> Column:
     """Hourly prices of a rate text, as decimals in hour order: one flat rate, or terms numbered 1st,
     2nd, ... and additional. Anything else gives an empty array: a wrong price is worse than none."""

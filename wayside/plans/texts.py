@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import signs
@@ -9,6 +10,7 @@ from ..sources import snapshots
 from ..streaming import windows
 from .tables import query, read
 
+#: fixed values: worked examples of the language of signs
 SIGNS = [
     "2 HMP SATURDAY 8AM-7PM", "NO PARKING (SANITATION BROOM SYMBOL) MONDAY THURSDAY 9AM-10:30AM", "NO STANDING ANYTIME", "NO PARKING ANYTIME",
     "1 HOUR METERED PARKING 9AM-7PM INCLUDING SUNDAY", "2 HOUR PARKING 8AM-6PM EXCEPT SUNDAY", "NO PARKING (SANITATION BROOM) TUES FRI 11:30AM-1PM <--",
@@ -29,6 +31,59 @@ def grammar_rules(spark, d):
     return posted.groupBy("sign").agg(F.count("*").alias("n_posts")).join(rules, "sign")
 
 
+#: rules of SIGNS by their place, worked out by hand: (sign, rule, action, permitted, vehicle, exclusive, days, from, to, metered, limit, season from, season to, arrow, confidence)
+GOLDEN = [
+    (0, 1, "park", True, "all", False, 32, 480, 1140, True, 120, None, None, "none", 1.0),
+    (1, 1, "park", False, "all", False, 9, 540, 630, False, None, None, None, "none", 1.0),
+    (2, 1, "stand", False, "all", False, 127, None, None, False, None, None, None, "none", 1.0),
+    (3, 1, "park", False, "all", False, 127, None, None, False, None, None, None, "none", 1.0),
+    (4, 1, "park", True, "all", False, 127, 540, 1140, True, 60, None, None, "none", 1.0),
+    (5, 1, "park", True, "all", False, 63, 480, 1080, False, 120, None, None, "none", 1.0),
+    (6, 1, "park", False, "all", False, 18, 690, 780, False, None, None, None, "one", 1.0),
+    (7, 1, "stop", False, "all", False, 127, None, None, False, None, None, None, "none", 1.0),
+    (8, 1, "park", True, "commercial", True, 31, 540, 1080, False, 180, None, None, "none", 1.0),
+    (9, 1, "stand", False, "all", False, 127, 1200, 360, False, None, None, None, "none", 1.0),
+    (10, 1, "stand", True, "other", True, 4, 480, 960, False, None, 601, 1130, "one", 1.0),
+    (11, 1, "park", True, "authorized", True, 31, 420, 960, False, None, None, None, "one", 1.0),
+    (12, 1, "park", False, "all", False, 9, 0, 180, False, None, None, None, "both", 1.0),
+    (13, 1, "park", True, "all", False, 127, None, None, False, None, None, None, "none", 1.0),
+    (14, 1, "stand", False, "all", False, 127, None, None, False, None, None, None, "one", 1.0),
+    (15, 1, "park", True, "all", False, 63, 420, 1080, True, 120, None, None, "none", 1.0),
+    (15, 2, "park", True, "all", False, 63, 1080, 0, True, 360, None, None, "none", 1.0),
+]
+_GOLDEN_COLUMNS = "sign_no rule action permitted vehicle exclusive days from_min to_min metered limit_min season_from season_to arrow confidence".split()
+
+
+def _values(rows) -> str:
+    one = lambda v: "NULL" if v is None else f"'{v.replace(chr(39), 2 * chr(39))}'" if isinstance(v, str) else str(v)
+    return ", ".join(f"({', '.join(map(one, r))})" for r in rows)
+
+
+@query(f"SELECT g.* REPLACE (CAST(confidence AS DOUBLE) AS confidence), n AS n_posts FROM (VALUES {_values(GOLDEN)}) g({', '.join(_GOLDEN_COLUMNS)}) JOIN (SELECT p_partkey % {len(SIGNS)} AS k, count(*) AS n FROM part GROUP BY k) ON k = sign_no")
+def sign_rules(spark, d):
+    """The rules of every sign text against those worked out by hand."""
+    texts = spark.createDataFrame(list(enumerate(SIGNS)), "sign_no int, sign string")
+    posted = read(spark, d, "part").select((F.col("p_partkey") % len(SIGNS)).cast("int").alias("sign_no")).join(F.broadcast(texts), "sign_no")  # a row per literal
+    rules = signs.read_signs(posted, "sign").withColumn("rule", F.row_number().over(Window.partitionBy("sign").orderBy("ordinal", "from_min")))
+    return posted.groupBy("sign_no", "sign").agg(F.count("*").alias("n_posts")).join(rules, "sign").select(*_GOLDEN_COLUMNS, "n_posts")
+
+
+#: texts and (panel, outcome, family action, arity) by hand
+READ = [
+    ("NO PARKING ANYTIME <->", None, "full", "no-park", "double"), ("NO STANDINGBUZZARD 7AM-9AM", None, "partial", "no-stand", "none"), ("TAXI/FHV RELIEF STAND 8PM-4AM -->", None, "full", "no-stand", "single"),
+    ("2 HMP 8AM-6PM NO STOPPING 6AM-8AM", None, "full", "no-stop", "none"), ("3 HOUR PARKING 9AM-5PM", None, "full", "park", "none"), ("METERS ARE NOT IN EFFECT ABOVE TIMES", None, "full", None, "none"),
+    ("PAY-BY-CELL LOCATOR PLATE 104", "panel:pay_by_cell", "panel", None, None), ("M104 ROUTE PANEL", "panel:mta_route", "panel", None, None), ("STREET LOCATION PANEL", "panel:location", "panel", None, None),
+    ("BACK IN ANGLE PARKING ONLY", "panel:parking_geometry", "panel", None, None), ("(SUPERSEDES R7-100)", "panel:supersedes_only", "panel", None, None), ("--", "panel:blank", "panel", None, None),
+    ("DAY XYY-XYY", "panel:template", "panel", None, None), ("KEEP RIGHT", "panel:advisory", "panel", None, None), ("MICROHUB ZONE 7AM-7PM", None, "full", "no-stand", "none"), ("GRASS IS GREEN", None, "unparsed", None, None),
+    ("NO PARKING 9AM-5PM EXCPET SHERIFF", None, "full", "no-park", "none"), ("NO STANDING " + 100 * "X ANYTIME ", None, "unparsed", None, None),
+]
+
+
+@query(f"SELECT * FROM (VALUES {_values(READ)}) t(sign, panel, outcome, family_action, arity)")
+def sign_readings(spark, d):
+    return signs.sign_readings(spark.createDataFrame([(r[0],) for r in READ], "sign string"), "sign")
+
+
 RATES = ["$1.50 per Hour", "$5.50 1st Hour / $9.00 2nd Hour", "$2.00 1st Hour / $3.00 2nd Hour / $4.50 Add'l", "$3.00 2nd Hour", "N/A", "", "$1.00 per hour / $2.00 2nd hour"]
 
 
