@@ -1,6 +1,6 @@
 """Whole queries composed of the operators, with their SQL counterparts."""
 
-from . import places, profiling, rules, search, spans, texts
+from . import places, profiling, rules, search, spans, staging, texts
 from .tables import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "places", "profiling", "rules", "search", "spans", "texts"]
+__all__ = ["ORACLES", "QUERIES", "places", "profiling", "rules", "search", "spans", "staging", "texts"]
