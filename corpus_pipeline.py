@@ -34,7 +34,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", good), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("mixing", mix), ("packing", pack)]
-#: The classifier and the packing have no SQL form; tests compare the stages with brute force.
+#: The classifier and the packing have no SQL form; tests compare every stage's rows with plain Python.
 ORACLE_SQL = None
 
 

@@ -148,3 +148,34 @@ def coverage(pieces: DataFrame, rules: DataFrame, calendar: DataFrame, key: str,
     sums = rows.groupBy(key, "rule_id", "readable").agg(F.sum("minutes").alias("total"), F.sum(F.when(on, F.col("minutes")).otherwise(0)).alias("active_minutes"))
     part = F.when(~F.col("readable"), None).when(F.col("active_minutes") == 0, "none").when(F.col("active_minutes") == F.col("total"), "all").otherwise("part")
     return sums.select(key, "rule_id", "active_minutes", part.alias("coverage"))
+
+
+def caveats(pieces: DataFrame, rules: DataFrame, calendar: DataFrame, key: str, stack: str) -> DataFrame:
+    """key and caveats, in a fixed order: no calendar, a snow rule, a school rule that is active in the
+    window, cleaning suspended on a day of it, meters off in a part of it, nothing posted in all or in
+    part of it. A key without pieces gives no row."""
+    days = calendar.select(F.col("date").alias("_date"), *[F.col(c).alias(f"_{c}") for c in ("suspended", "meters_off", "major", "no_school")])
+    known = calendar.agg((F.count("*") > 0).alias("_known"))
+    rows = pieces.join(rules, stack, "left").join(F.broadcast(days), F.to_date("piece_start") == F.col("_date"), "left")  # one row a day of a calendar
+    r, c = F.col, lambda name: F.col(f"_{name}")
+    start, no = F.col("piece_start"), F.lit(False)
+    on = F.coalesce(is_active(start, r, c), no) & r("rule_id").isNotNull()
+    says = applies(r("permitted"), r("vehicle"), r("exclusive"))
+    yes = on & F.coalesce(says, no) & (r("action") == "park")
+    each = rows.groupBy(key, "piece_start").agg(
+        F.bool_or(F.coalesce(on & (says == False), no)).alias("no"), F.bool_or(F.coalesce(yes, no)).alias("yes"),  # noqa: E712
+        F.bool_or(F.coalesce(yes & r("metered"), no)).alias("metered"), F.bool_or(F.coalesce(yes & is_charged(start, r, c), no)).alias("charged"),
+        F.bool_or(F.coalesce(r("snow"), no)).alias("snow"), F.bool_or(F.coalesce(on & r("school"), no)).alias("school"),
+        F.bool_or(F.coalesce(r("cleaning"), no)).alias("cleaning"), F.bool_or(F.coalesce(c("suspended"), no)).alias("suspended"),
+    )
+    free = ~F.col("no")
+    spans = each.groupBy(key).agg(
+        *[F.bool_or(n).alias(n) for n in ("snow", "school", "cleaning", "suspended")], F.bool_or(free & F.col("metered") & ~F.col("charged")).alias("unmetered"),
+        F.every(free & ~F.col("yes")).alias("absent"), F.bool_or(free & ~F.col("yes")).alias("partly"),
+    ).crossJoin(F.broadcast(known))  # one row
+    said = F.array(
+        F.when(~F.col("_known"), "no calendar"), F.when(F.col("snow"), "snow rule"), F.when(F.col("school"), "school days assumed"),
+        F.when(F.col("cleaning") & F.col("suspended"), "cleaning suspended"), F.when(F.col("unmetered"), "meters off in part"),
+        F.when(F.col("absent"), "nothing posted").when(F.col("partly"), "nothing posted in part"),
+    )
+    return spans.select(key, F.filter(said, lambda x: x.isNotNull()).alias("caveats"))

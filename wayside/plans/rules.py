@@ -151,6 +151,18 @@ def rule_coverage(spark, d):
     return intervals.coverage(_pieces(spark, d), _rules(spark), _calendar(spark), "o_orderkey", "stack")
 
 
+@query(f"""WITH {_BASE}, per AS (SELECT o_orderkey, piece_start, coalesce(bool_or(no), false) AS bad, coalesce(bool_or(yes), false) AS good, coalesce(bool_or(yes AND metered), false) AS metered,
+        coalesce(bool_or(yes AND charges), false) AS charged, coalesce(bool_or(snow), false) AS snow, coalesce(bool_or(active AND school), false) AS school, coalesce(bool_or(cleaning), false) AS cleaning,
+        coalesce(bool_or(EXISTS (SELECT 1 FROM cal WHERE cal.date = CAST(piece_start AS DATE) AND cal.suspended)), false) AS suspended FROM marked GROUP BY ALL),
+    k AS (SELECT o_orderkey, bool_or(snow) AS snow, bool_or(school) AS school, bool_or(cleaning) AND bool_or(suspended) AS swept, bool_or(NOT bad AND metered AND NOT charged) AS off,
+        bool_and(NOT bad AND NOT good) AS absent, bool_or(NOT bad AND NOT good) AS partly FROM per GROUP BY 1)
+    SELECT o_orderkey, concat_ws('|', CASE WHEN snow THEN 'snow rule' END, CASE WHEN school THEN 'school days assumed' END, CASE WHEN swept THEN 'cleaning suspended' END,
+        CASE WHEN off THEN 'meters off in part' END, CASE WHEN absent THEN 'nothing posted' WHEN partly THEN 'nothing posted in part' END) AS caveats FROM k""")
+def span_caveats(spark, d):
+    rows = intervals.caveats(_pieces(spark, d), _rules(spark), _calendar(spark), "o_orderkey", "stack")
+    return rows.select("o_orderkey", F.array_join("caveats", "|").alias("caveats"))
+
+
 @query(f"""WITH {_BASE}{_VERDICTS} SELECT o_custkey, arg_min(verdict, CASE verdict WHEN 'legal' THEN 0 WHEN 'ambiguous' THEN 1 WHEN 'illegal' THEN 2 ELSE 3 END) AS best, count(*) AS n
     FROM verdicts JOIN orders USING (o_orderkey) GROUP BY o_custkey""")
 def side_best(spark, d):
