@@ -119,14 +119,21 @@ def cascade(asked: DataFrame, vocabulary: DataFrame, q: str, token: str, aliases
 
 def closest(asked: DataFrame, vocabulary: DataFrame, q: str, token: str, least: float = 0.92) -> DataFrame:
     """q with its most similar token by matching blocks (twice the matched letters over all letters), if
-    at least `least`. Candidates have a near length and share a two-letter run, so that pairs come from
-    a join; the ratio is computed on those in Arrow batches."""
+    at least `least`. A similar pair leaves at most 2 * (1 - least) * (both lengths) of q's two-letter
+    runs unmatched, so q is posted under so many of its rarest runs and one more, and frequent runs are
+    seldom used; the ratio is computed on pairs of near length in Arrow batches."""
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
     grams = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 1)), lambda i: F.substring(F.col(c), i, F.lit(2)))))
-    pairs = asked.withColumn("_g", grams(q)).join(vocabulary.withColumn("_g", grams(token)), "_g").select(q, token).distinct()
+    posted = vocabulary.select(token, grams(token).alias("_g"))
+    usual = posted.groupBy("_g").agg(F.count("*").alias("_n"))
+    # the longest token that can be similar has length(q) * (2 - least) / least
+    lost = F.floor(2 * (1 - least) * F.length(q) * (1 + (2 - least) / least) + 1e-9)
+    rarest = F.row_number().over(Window.partitionBy(q).orderBy(F.coalesce("_n", F.lit(0)), "_g"))
+    wanted = asked.select(q, grams(q).alias("_g")).join(usual, "_g", "left").withColumn("_k", rarest).where(F.col("_k") <= lost + 1)
+    pairs = wanted.select(q, "_g").join(posted, "_g").select(q, token).distinct()
     near = 2.0 * F.least(F.length(q), F.length(token)) / (F.length(q) + F.length(token)) >= least
     rows = pairs.where(near).withColumn("ratio", ratio(token, q)).where(F.col("ratio") >= least)
     return rows.groupBy(q).agg(F.min_by(F.struct(token, "ratio"), F.struct(-F.col("ratio"), token)).alias("b")).select(q, f"b.{token}", "b.ratio")
