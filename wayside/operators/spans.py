@@ -56,16 +56,15 @@ def union_touching(spans: DataFrame, keys: list[str], start: str = "span_start",
 def flatten(spans: DataFrame, face: list[str], member: str, start: str = "span_start", end: str = "span_end") -> DataFrame:
     """Overlapping spans of a face as pieces that don't overlap, each with the sorted set of members
     that cover it; neighbours with equal sets are one piece. Uncovered stretches are left out."""
-    edges = spans.select(*face, F.explode(F.array(start, end)).alias("t")).distinct()
-    order = Window.partitionBy(*face).orderBy("t")
-    edges = edges.withColumns({"_i": F.row_number().over(order), "b": F.lead("t").over(order)})
-    # a span covers the pieces from its start's number to the one before its end's: work goes with the output
-    first = edges.select(*face, F.col("t").alias("s"), F.col("_i").alias("_from"))
-    last = edges.select(*face, F.col("t").alias("e"), F.col("_i").alias("_to"))
-    held = spans.select(*face, F.col(member).alias("m"), F.col(start).alias("s"), F.col(end).alias("e")).where("s < e")
-    held = held.join(first, [*face, "s"]).join(last, [*face, "e"]).select(*face, "m", F.explode(F.sequence("_from", F.col("_to") - 1)).alias("_i"))
+    held = spans.select(*face, F.col(member).alias("m"), F.col(start).alias("s"), F.col(end).alias("e"))
+    ends = held.withColumn("t", F.explode(F.array("s", "e"))).withColumn("_i", F.dense_rank().over(Window.partitionBy(*face).orderBy("t")))
+    # a span covers the pieces from its start's number to the one before its end's: work goes with the
+    # output, and all of it stays in the one exchange by face
+    pieces = ends.groupBy(*face, "_i").agg(F.first("t").alias("a")).withColumn("b", F.lead("a").over(Window.partitionBy(*face).orderBy("_i")))
+    held = ends.groupBy(*face, "m", "s", "e").agg(F.min("_i").alias("_from"), F.max("_i").alias("_to")).where("s < e")
+    held = held.select(*face, "m", F.explode(F.sequence("_from", F.col("_to") - 1)).alias("_i"))
     sets = held.groupBy(*face, "_i").agg(F.array_sort(F.collect_set("m")).alias("members"))
-    sets = sets.join(edges, [*face, "_i"]).select(*face, F.col("t").alias("a"), "b", "members")
+    sets = sets.join(pieces, [*face, "_i"]).select(*face, "a", "b", "members")
     w = Window.partitionBy(*face).orderBy("a")
     starts = F.when((F.lag("b").over(w) == F.col("a")) & (F.lag("members").over(w) == F.col("members")), 0).otherwise(1)
     runs = sets.withColumn("_new", starts).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
