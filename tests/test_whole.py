@@ -1,4 +1,4 @@
-"""Queries over whole tables where the SQL of their namesakes takes a part, against brute force and small fixtures."""
+"""Queries over whole tables against brute force and small fixtures."""
 
 import collections
 
@@ -29,27 +29,27 @@ def table(spark, folder, name, rows, schema):
 def test_shortest_chain_takes_all_lines(spark, sf, tmp_path):
     edges = {(r.l_partkey, r.l_suppkey + 1_000_000) for r in spark.read.parquet(f"{sf}/lineitem.parquet").collect()}
     parts = [a for a, _ in edges]
-    assert list(map(tuple, QUERIES["shortest_chain_whole"](spark, sf).collect())) == chains(edges, min(parts), max(parts))
+    assert list(map(tuple, QUERIES["shortest_chain"](spark, sf).collect())) == chains(edges, min(parts), max(parts))
     # a line of 12 parts, each sharing a supplier with the next: 22 hops
     rows = [(k, s, 1) for k in range(12) for s in (k - 1, k) if 0 <= s < 11]
     table(spark, tmp_path, "lineitem", rows, "l_partkey long, l_suppkey long, l_linenumber int")
-    assert list(map(tuple, QUERIES["shortest_chain_whole"](spark, str(tmp_path)).collect())) == [(11, 22, 1)]
+    assert list(map(tuple, QUERIES["shortest_chain"](spark, str(tmp_path)).collect())) == [(11, 22, 1)]
 
 
 def test_overlaps_of_any_line(spark, tmp_path):
     rows = [(1, 1, 7, 5, "1992-02-01", 10), (2, 3, 8, 5, "1992-02-05", 10), (2, 3, 8, 5, "1992-02-05", 10), (3, 1, 9, 6, "1992-02-05", 10)]
     table(spark, tmp_path, "lineitem", rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_shipdate string, l_quantity int")
-    got = sorted(map(tuple, QUERIES["overlap_pairs_whole"](spark, str(tmp_path)).collect()))
+    got = sorted(map(tuple, QUERIES["bucketed_overlap_pairs"](spark, str(tmp_path)).collect()))
     assert got == [("1-1-7-1", "2-3-8-1", 6), ("1-1-7-1", "2-3-8-2", 6), ("2-3-8-1", "2-3-8-2", 10)]
 
 
 def test_walks_of_all_customers(spark, tmp_path):
     table(spark, tmp_path, "customer", [(k,) for k in range(1, 12)], "c_custkey long")
-    got = {r.start: (r.node, r.depth, r.how) for r in QUERIES["dead_end_walk_whole"](spark, str(tmp_path)).collect()}
+    got = {r.start: (r.node, r.depth, r.how) for r in QUERIES["dead_end_walk"](spark, str(tmp_path)).collect()}
     assert got == {0: (1, 1, "fork"), 6: (3, 1, "fork"), 7: (3, 1, "fork"), 8: (4, 1, "fork"), 9: (4, 1, "fork"), 10: (5, 1, "fork"), 11: (5, 1, "fork")}
 
 
 def test_any_line_covers_a_side(spark, tmp_path):
     table(spark, tmp_path, "part", [(1,)], "p_partkey long")
     table(spark, tmp_path, "lineitem", [(1, "A", 6)], "l_partkey long, l_returnflag string, l_linenumber int")
-    assert sorted(r.side for r in QUERIES["placeholders_whole"](spark, str(tmp_path)).collect()) == ["N", "R"]
+    assert sorted(r.side for r in QUERIES["placeholders"](spark, str(tmp_path)).collect()) == ["N", "R"]

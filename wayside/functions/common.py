@@ -11,8 +11,8 @@ def blank_to_null(c: Column) -> Column:
 
 
 def leading_int(c: Column, digits: int = 6) -> Column:
-    """The whole number a text begins with, or null: '159-48' is 159, 'REAR' is null."""
-    return F.regexp_extract(c, r"^\s*(\d{1,%d})(?!\d)" % digits, 1).try_cast("int")
+    """The number of the first digits a text begins with, or null: '159-48' is 159, 'REAR' is null."""
+    return F.regexp_extract(c, r"^\s*(\d{1,%d})" % digits, 1).try_cast("int")
 
 
 def five_digits(c: Column) -> Column:
