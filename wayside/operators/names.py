@@ -16,6 +16,14 @@ WORD_FORMS = {
     "FIRST": "1", "SECOND": "2", "THIRD": "3", "FOURTH": "4", "FIFTH": "5", "SIXTH": "6", "SEVENTH": "7", "EIGHTH": "8", "NINTH": "9", "TENTH": "10",
     "ELEVENTH": "11", "TWELFTH": "12",
 }
+#: fixed values: spelt numbers, words that say nothing in a name, how kinds of schools are shortened, what places are called
+CARDINALS = {"ONE": "1", "TWO": "2", "THREE": "3", "FOUR": "4", "FIVE": "5", "SIX": "6", "SEVEN": "7", "EIGHT": "8", "NINE": "9", "TEN": "10"}
+STOP_WORDS = ["THE", "OF", "AND", "AT", "A"]
+SHORTHAND = {"PUBLIC SCHOOL": "PS", "HIGH SCHOOL": "HS", "MIDDLE SCHOOL": "MS"}
+PLACE_ALIASES = {
+    "MOMA": "MUSEUM OF MODERN ART (MOMA)", "THE MET": "METROPOLITAN MUSEUM OF ART", "MET MUSEUM": "METROPOLITAN MUSEUM OF ART",
+    "PORT AUTHORITY": "PORT AUTHORITY BUS TERMINAL", "GRAND CENTRAL": "GRAND CENTRAL TERMINAL", "MSG": "MADISON SQUARE GARDEN",
+}
 #: fixed values: directions and street kinds that a variant may leave out
 DIRECTIONS = ["E", "W", "N", "S"]
 SUFFIXES = ["ST", "AVE", "BLVD", "PL", "DR", "PKWY", "TER", "SQ", "RD", "LN", "CT", "ALY", "PLZ"]
@@ -41,12 +49,39 @@ def fold(name: Column, **kw) -> Column:
     return normalize(F.regexp_replace(text, r"\b(\d+)(ST|ND|RD|TH)\b", "$1"), **kw)
 
 
+def name_words(folded: Column) -> Column:
+    """The words that a folded name is searched by, in order: numbers as digits, stop words left out."""
+    words = F.filter(F.split(folded, " "), lambda w: (w != "") & ~w.isin(STOP_WORDS))
+    table = _map(CARDINALS)
+    return F.transform(words, lambda w: F.coalesce(F.try_element_at(table, w), w))
+
+
+def place_spellings(name: Column, shorthand: dict[str, str] = SHORTHAND, aliases: dict[str, str] = PLACE_ALIASES) -> Column:
+    """Array of the texts a place answers to: its own words (first), with each phrase once shortened where
+    it occurs, and what it is called otherwise."""
+    words, none = name_words(fold(name)), F.array().cast("array<array<string>>")
+
+    def shortened(phrase: str, short: str) -> Column:
+        want = F.array(*map(F.lit, phrase.split(" ")))
+        n = len(phrase.split(" "))
+        hits = F.filter(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.slice(words, i, F.lit(n)) == want)
+        swap = lambda i: F.concat(F.slice(words, 1, i - 1), F.array(F.lit(short)), F.slice(words, i + n, F.size(words)))
+        return F.when(F.size(words) >= n, F.transform(hits, swap)).otherwise(none)
+
+    found = [F.array(words), *(shortened(*pair) for pair in shorthand.items())]
+    for alias, target in aliases.items():
+        found.append(F.when(words == name_words(fold(F.lit(target))), F.array(name_words(fold(F.lit(alias))))).otherwise(none))
+    return F.array_distinct(F.filter(F.transform(F.concat(*found), lambda w: F.array_join(w, " ")), lambda s: s != ""))
+
+
 def variants(norm: Column) -> Column:
-    """Array of shorter forms: without the suffix, without the leading direction, without both."""
+    """Array of shorter forms: without the last word if it is a suffix, without the leading direction (of
+    three words or more, or before a number), without both."""
     words = F.split(norm, " ")
     n = F.size(words)
-    tail = F.element_at(words, -1).isin(SUFFIXES) & (n > 1)
-    head = F.element_at(words, 1).isin(DIRECTIONS) & (n > 1)
+    tail = F.element_at(words, -1).isin(sorted({*WORD_FORMS.values(), *SUFFIXES})) & (n > 1)
+    numbered = norm.rlike(r"^[EW] \d{1,3}$")
+    head = F.element_at(words, 1).isin(DIRECTIONS) & ((n > 2) | numbered)
     part = lambda start, length: F.array_join(F.slice(words, start, F.greatest(length, F.lit(0))), " ")
     found = F.array(norm, F.when(tail, part(F.lit(1), n - 1)), F.when(head, part(F.lit(2), n - 1)), F.when(head & tail & (n > 2), part(F.lit(2), n - 2)))
     return F.array_distinct(F.filter(found, lambda v: v.isNotNull() & (v != "")))
@@ -117,15 +152,25 @@ def cascade(asked: DataFrame, vocabulary: DataFrame, q: str, token: str, aliases
     return rows.withColumn("_m", first).where("_r = _m").select(q, token, "how")
 
 
+def likeness(a: str, b: str) -> Column:
+    """Twice the letters in matching blocks over all letters of two text columns."""
+    @F.pandas_udf("double")
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, u, v).ratio() for u, v in zip(x, y, strict=True)])
+
+    return ratio(a, b)
+
+
+def likeness_bound(a: str, b: str) -> Column:
+    """What likeness() is at most, by the lengths alone."""
+    return 2.0 * F.least(F.length(a), F.length(b)) / (F.length(a) + F.length(b))
+
+
 def closest(asked: DataFrame, vocabulary: DataFrame, q: str, token: str, least: float = 0.92) -> DataFrame:
     """q with its most similar token by matching blocks (twice the matched letters over all letters), if
     at least `least`. A similar pair leaves at most 2 * (1 - least) * (both lengths) of q's two-letter
     runs unmatched, so q is posted under so many of its rarest runs and one more, and frequent runs are
     seldom used; the ratio is computed on pairs of near length in Arrow batches."""
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
-
     grams = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 1)), lambda i: F.substring(F.col(c), i, F.lit(2)))))
     posted = vocabulary.select(token, grams(token).alias("_g"))
     usual = posted.groupBy("_g").agg(F.count("*").alias("_n"))
@@ -134,6 +179,5 @@ def closest(asked: DataFrame, vocabulary: DataFrame, q: str, token: str, least:
     rarest = F.row_number().over(Window.partitionBy(q).orderBy(F.coalesce("_n", F.lit(0)), "_g"))
     wanted = asked.select(q, grams(q).alias("_g")).join(usual, "_g", "left").withColumn("_k", rarest).where(F.col("_k") <= lost + 1)
     pairs = wanted.select(q, "_g").join(posted, "_g").select(q, token).distinct()
-    near = 2.0 * F.least(F.length(q), F.length(token)) / (F.length(q) + F.length(token)) >= least
-    rows = pairs.where(near).withColumn("ratio", ratio(token, q)).where(F.col("ratio") >= least)
+    rows = pairs.where(likeness_bound(q, token) >= least).withColumn("ratio", likeness(token, q)).where(F.col("ratio") >= least)
     return rows.groupBy(q).agg(F.min_by(F.struct(token, "ratio"), F.struct(-F.col("ratio"), token)).alias("b")).select(q, f"b.{token}", "b.ratio")

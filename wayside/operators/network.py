@@ -60,13 +60,16 @@ def dead_ends(edges: DataFrame, a: str, b: str, starts: DataFrame, hops: int = 3
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the session's shared folder, or a local one in a local run."""
+    """A checkpoint in the session's shared folder; one local process may do without it."""
     import os
     import tempfile
 
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", os.path.join(tempfile.gettempdir(), "wayside-checkpoints")))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "wayside-checkpoints"))
     return df.checkpoint(eager=True)
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import common
+from . import names
+
 #: fixed values: metres a degree of latitude, the usual width of a street and length of a car in feet
 METRES_PER_DEGREE, USUAL_WIDTH, CAR_FEET = 111_132.0, 34.0, 22
 
@@ -226,3 +229,30 @@ def suggestions(found: list[DataFrame], coverage: DataFrame | None = None, most:
     best = rows.groupBy("kind", "label").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "lon", "lat")).alias("b"))
     best = best.select("kind", "label", (-F.col("b.c")).alias("confidence"), "b.lon", "b.lat")
     return best.orderBy(F.desc("confidence"), F.length("label"), "label", "lon", "lat").limit(most)
+
+
+def stage_doors(doors: DataFrame, displays: DataFrame, geometry: Column) -> tuple[DataFrame, DataFrame]:
+    """Address points (house, suffix, street, zip) as (street_norm, number, display, zip, lon, lat), and one row with
+    the number of those dropped for want of a place, a number or a street. displays (street_norm, spelling)
+    holds each street once; the suffix is kept in the label only."""
+    rows = doors.select("house", "suffix", "street", "zip", geo_point(geometry).alias("p"), common.leading_int(F.col("house")).alias("number"), names.fold(F.coalesce("street", F.lit(""))).alias("street_norm"))
+    whole = F.col("p").isNotNull() & F.col("number").isNotNull() & (F.col("street_norm") != "")
+    kept = rows.where(whole).join(displays, "street_norm", "left")
+    door = F.concat(F.trim("house"), F.coalesce(F.trim("suffix"), F.lit("")))
+    label = F.concat_ws(" ", door, F.coalesce(F.when(F.col("spelling") != "", F.col("spelling")), F.trim("street")))
+    kept = kept.select("street_norm", "number", common.neutral_cell(label).alias("display"), common.five_digits(F.trim(F.col("zip"))).alias("zip"), "p.lon", "p.lat")
+    return kept, rows.agg(F.count(F.when(~whole, 1)).alias("n"))
+
+
+def stage_places(places: DataFrame, key: str, name: str, geometry: Column, streets: DataFrame, shorthand: dict = names.SHORTHAND, aliases: dict = names.PLACE_ALIASES) -> DataFrame:
+    """key, display, lon, lat, spellings, kept of the places that have a name and a point. Spellings that a street (text)
+    has as well are left out; a place whose own name is one, or that keeps none, is dropped (kept is false)."""
+    rows = places.select(key, F.trim(name).alias("name"), geo_point(geometry).alias("p")).where("p IS NOT NULL AND name <> ''")
+    each = rows.select(key, "name", "p", F.posexplode_outer(names.place_spellings(F.col("name"), shorthand, aliases)).alias("i", "text"))
+    taken = streets.select("text").distinct().withColumn("_street", F.lit(True))
+    each = each.join(taken, "text", "left").withColumn("_street", F.coalesce("_street", F.lit(False)))
+    free = F.array_sort(F.collect_list(F.when(~F.col("_street"), F.col("text"))))
+    own = F.bool_or((F.col("i") == 0) & F.col("_street"))
+    found = each.groupBy(key, "name", "p").agg(free.alias("spellings"), own.alias("_own"))
+    kept = (F.size("spellings") > 0) & ~F.coalesce("_own", F.lit(False))
+    return found.select(key, common.neutral_cell(F.col("name")).alias("display"), "p.lon", "p.lat", "spellings", kept.alias("kept"))
