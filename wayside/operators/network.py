@@ -123,6 +123,33 @@ def polyline_distance(px: Column, py: Column, line: Column) -> Column:
     return F.array_min(legs)
 
 
+def nearest_on_line(px: Column, py: Column, line: Column) -> Column:
+    """struct(distance, x, y): the place on a line, an array of struct<x, y>, nearest a point."""
+
+    def on(p: Column, q: Column) -> Column:
+        dx, dy = q["x"] - p["x"], q["y"] - p["y"]
+        n = dx * dx + dy * dy
+        at = F.when(n > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - p["x"]) * dx + (py - p["y"]) * dy) / n))).otherwise(0.0)
+        x, y = p["x"] + at * dx, p["y"] + at * dy
+        return F.struct(F.hypot(px - x, py - y).alias("distance"), x.alias("x"), y.alias("y"))
+
+    return F.array_min(F.transform(F.slice(line, 1, F.greatest(F.size(line) - 1, F.lit(0))), lambda p, i: on(p, F.get(line, i + 1))))
+
+
+def nearest_line(lines: DataFrame, key: str, line: str, probes: DataFrame, probe: str, r: float) -> DataFrame:
+    """probe, key, distance, x, y: the line within r of each probe (x, y) that is nearest to nine decimals, the
+    smallest key on a tie, and the place on it. Each leg is dealt to the cells of width r that its box,
+    r wider, touches, so lines and probes meet in an equi-join."""
+    cells = lambda low, high: F.explode(F.sequence(F.floor((low - r) / r), F.floor((high + r) / r)))
+    legs = lines.select(key, line, F.posexplode(line).alias("_i", "_p")).withColumn("_q", F.get(line, F.col("_i") + 1)).where("_q IS NOT NULL")
+    span = lambda c: cells(F.least(F.col("_p")[c], F.col("_q")[c]), F.greatest(F.col("_p")[c], F.col("_q")[c]))
+    dealt = legs.withColumn("_cx", span("x")).withColumn("_cy", span("y")).select(key, "_cx", "_cy").distinct()
+    at = probes.select(probe, F.col("x").alias("px"), F.col("y").alias("py"), F.floor(F.col("x") / r).alias("_cx"), F.floor(F.col("y") / r).alias("_cy"))
+    pairs = at.join(dealt, ["_cx", "_cy"]).join(lines.select(key, line), key).withColumn("b", nearest_on_line(F.col("px"), F.col("py"), F.col(line)))
+    best = F.min_by(F.struct(key, "b.*"), F.struct(F.round("b.distance", 9), key)).alias("b")
+    return pairs.where(F.col("b.distance") <= r).groupBy(probe).agg(best).select(probe, "b.*")
+
+
 def in_ring(px: Column, py: Column, ring: Column) -> Column:
     """Whether a point lies in a closed ring, an array of struct<x, y>, by counting crossings."""
 

@@ -223,6 +223,21 @@ def reverse_places(spark, d):
     return network.reverse_ladder(xy(read(spark, d, "supplier"), "s_suppkey", "k", 37, 61), "k", [("door", doors, "n", [15.0, 60.0]), ("corner", corners, "n", [60.0, 250.0])])
 
 
+@query("""WITH p AS (SELECT s_suppkey AS k, CAST(s_suppkey * 37 % 1000 AS DOUBLE) AS px, CAST(s_suppkey * 61 % 1000 AS DOUBLE) AS py FROM supplier),
+    l AS (SELECT p_partkey AS n, CAST(p_partkey * 41 % 1000 AS DOUBLE) AS ax, CAST(p_partkey * 7 % 1000 AS DOUBLE) AS ay, 10.0 + p_size AS dx, 20.0 * (p_size % 3) AS dy FROM part),
+    t AS (SELECT *, greatest(0, least(1, ((px - ax) * dx + (py - ay) * dy) / (dx * dx + dy * dy)))::DOUBLE AS t FROM p, l),
+    d AS (SELECT k, n, ax + t * dx AS x, ay + t * dy AS y, sqrt((px - ax - t * dx) ** 2 + (py - ay - t * dy) ** 2) AS distance FROM t)
+    SELECT k, n, round(distance, 6) AS distance, round(x, 6) AS x, round(y, 6) AS y FROM d WHERE distance <= 120 QUALIFY row_number() OVER (PARTITION BY k ORDER BY round(distance, 9), n) = 1""")
+def reverse_streets(spark, d):
+    """The nearest street within 120 and the place on it."""
+    at = lambda df, c, n, a, b: df.withColumns({n: F.col(c), "x": (F.col(c) * a % 1000).cast("double"), "y": (F.col(c) * b % 1000).cast("double")})
+    probes = at(read(spark, d, "supplier"), "s_suppkey", "k", 37, 61).select("k", "x", "y")
+    parts = at(read(spark, d, "part"), "p_partkey", "n", 41, 7)
+    end = F.struct((F.col("x") + 10 + F.col("p_size")).alias("x"), (F.col("y") + F.col("p_size") % 3 * 20).alias("y"))
+    found = network.nearest_line(parts.select("n", F.array(F.struct("x", "y"), end).alias("line")), "n", "line", probes, "k", 120.0)
+    return found.select("k", "n", *[F.round(c, 6).alias(c) for c in ("distance", "x", "y")])
+
+
 @query("SELECT 400 AS n, true AS exact")
 def lcc_roundtrip(spark, d):
     grid = spark.range(400).select((F.col("id") % 20 * 0.01 - 74.05).alias("lon"), (F.floor(F.col("id") / 20) * 0.01 + 40.68).alias("lat"))
