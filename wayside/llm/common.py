@@ -71,11 +71,20 @@ def _shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """df as a Parquet table in the shared checkpoint folder: compact, and read by column."""
     path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", compression).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._written = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table that written() made, once nothing will read it any more."""
+    jvm = table.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(table._written)
+    path.getFileSystem(table.sparkSession._jsc.sc().hadoopConfiguration()).delete(path, True)
 
 
 #: ids, 8 or 16 bytes each, that are sent to all tasks; where there are more, rows are joined by shuffle

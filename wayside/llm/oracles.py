@@ -71,4 +71,18 @@ ORACLES = {
                n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
                NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - gone >= 0.2 * n_words AS kept
         FROM r""",
+    "op11_collocations": r"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+        g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3), (4), (5)) t(k)),
+        f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+        t AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+        c AS (SELECT * FROM f WHERE k > 1 AND f >= 100 ),
+        kept AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.lang = c.lang AND o.f = c.f AND o.k > c.k AND contains(' ' || o.phrase || ' ', ' ' || c.phrase || ' '))),
+        cuts AS (SELECT lang, phrase, k, f AS a, m, array_to_string(string_split(phrase, ' ')[:m], ' ') AS head, array_to_string(string_split(phrase, ' ')[m + 1:], ' ') AS tail
+                 FROM kept, (VALUES (1), (2), (3), (4)) t(m) WHERE m < k),
+        s AS (SELECT u.lang, u.phrase, u.a, u.m, x.f AS l, y.f AS r, t.n, CAST(1000::HUGEINT * u.a * t.n // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+              FROM cuts u JOIN f x ON x.lang = u.lang AND x.phrase = u.head AND x.k = u.m JOIN f y ON y.lang = u.lang AND y.phrase = u.tail AND y.k = u.k - u.m JOIN t ON t.lang = u.lang),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, m) = 1)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score FROM b QUALIFY rank <= 2000""",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, exact_dedup, language_id, lattice_lm, mixing, near_dedup, packing, quality_gam, quality_rules, suffix_dedup
+from . import chat_format, collocations, exact_dedup, language_id, lattice_lm, mixing, near_dedup, packing, quality_gam, quality_rules, suffix_dedup
 from .common import read_table
 
 
@@ -53,4 +53,8 @@ def op7_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.score(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_near_dedup, op3_language_id, op4_chat_format, op5_packing, op6_exact_dedup, op7_lattice_lm, op8_quality_gam, op9_suffix_dedup, op10_quality_rules)}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_near_dedup, op3_language_id, op4_chat_format, op5_packing, op6_exact_dedup, op7_lattice_lm, op8_quality_gam, op9_suffix_dedup, op10_quality_rules, op11_collocations)}
