@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat_format, collocations, exact_dedup, language_id, lattice_lm, mixing, near_dedup, packing, quality_gam, quality_rules, suffix_dedup
+from . import chat_format, collocations, exact_dedup, hard_negatives, language_id, lattice_lm, mixing, near_dedup, packing, quality_gam, quality_rules, suffix_dedup, topk_search
 from .common import read_table
 
 
@@ -57,4 +58,13 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_near_dedup, op3_language_id, op4_chat_format, op5_packing, op6_exact_dedup, op7_lattice_lm, op8_quality_gam, op9_suffix_dedup, op10_quality_rules, op11_collocations)}
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, moved)
+
+
+def op13_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_near_dedup, op3_language_id, op4_chat_format, op5_packing, op6_exact_dedup, op7_lattice_lm, op8_quality_gam, op9_suffix_dedup, op10_quality_rules, op11_collocations, op12_hard_negatives, op13_topk_search)}
