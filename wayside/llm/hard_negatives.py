@@ -55,10 +55,12 @@ def ball_tree(x: np.ndarray, rows: np.ndarray) -> Node:
 
 
 class Search:
-    """The k best rows of each (query, window) in a block; low and high are matrices of windows."""
+    """The k best rows of each (query, window) in a block; low and high are matrices of windows, own has the
+    place of each query's own row, which is not to be found, but for its other copies."""
 
-    def __init__(self, x, ids, copies, q, low, high, k):
-        self.x, self.q, self.ids, self.copies, self.k = x, q, ids, copies, k
+    def __init__(self, x, ids, copies, own, q, low, high, k):
+        self.x, self.q, self.ids, self.copies, self.own, self.k = x, q, ids, copies, own, k
+        self.barred = np.where((own >= 0) & (copies[own] == 1), own, -2)
         self.fx, self.fq = x.astype(np.float64), q.astype(np.float64)
         self.low, self.high, self.kth = low, high, np.full(low.shape, -np.inf)
         self.exact = vectors.exact_in_floats(x, q)
@@ -66,8 +68,8 @@ class Search:
         self.slack = 1e-9 * (1 + self.norm * np.sqrt((self.fx**2).sum(axis=1)).max(initial=0))
         self.found, self.size = [], 0
 
-    def walk(self, node: Node, active: np.ndarray, barred: np.ndarray | None) -> None:
-        """Goes through the queries `active`; barred[i] is the only row that query i may not find, or -1."""
+    def walk(self, node: Node, active: np.ndarray) -> None:
+        """Goes through a tree with the queries `active`."""
         at = self.fq[active] @ node.center
         reach = self.norm[active] * node.radius + self.slack[active]
         need = np.maximum(self.low[active], self.kth[active])
@@ -78,11 +80,10 @@ class Search:
         if node.parts:
             near = [self.fq[active] @ p.center for p in node.parts]
             for p in sorted(range(len(near)), key=lambda p: -near[p].sum()):  # where most is to be found first
-                self.walk(node.parts[p], active, barred)
+                self.walk(node.parts[p], active)
             return
         score = self.fq[active] @ self.fx[node.rows].T if self.exact else (self.q[active].astype(object) @ self.x[node.rows].T.astype(object)).astype(np.float64)
-        if barred is not None:
-            score[barred[active][:, None] == node.rows] = -np.inf
+        score[self.barred[active][:, None] == node.rows] = -np.inf
         for w in range(self.low.shape[1]):
             room = 0 if self.exact else self.slack[active][:, None]
             inside = (score + room >= self.low[active, w][:, None]) & (score - room <= self.high[active, w][:, None])
@@ -101,7 +102,7 @@ class Search:
         score = vectors.pair_scores(self.q, self.x, query, row)
         real = (score >= self.low[query, window]) & (score <= self.high[query, window])
         query, window, row, score = (c[real] for c in (query, window, row, score))
-        keep, full = vectors.best(query * self.low.shape[1] + window, score, self.ids[row], self.copies[row], self.k)
+        keep, full = vectors.best(query * self.low.shape[1] + window, score, self.ids[row], self.copies[row] - (row == self.own[query]), self.k)
         query, window, row, score = (c[keep] for c in (query, window, row, score))
         self.kth[query[full], window[full]] = np.maximum(self.kth[query[full], window[full]], score[full])
         self.found, self.size = [(query, window, row)], len(query)
@@ -119,23 +120,20 @@ def search_block(held: pa.Table, wanted: pa.Table, same: bool, k: int, low: int
     x, q = vectors.both_matrices(held["vector"], wanted["vector"])
     rows, copies, own = held["row"].to_numpy(), held["copies"].to_numpy(), wanted["row"].to_numpy()
     if same:
-        barred = np.full(len(q), -1)
-        i, c = vectors.without_own(rows, copies, own)
-        barred[i] = c
         lows, highs, of = np.full((len(q), 1), -np.inf), np.full((len(q), 1), np.inf), None
     else:
-        of, barred = wanted["scores"].to_pylist(), None
+        of = wanted["scores"].to_pylist()
         width = max(map(len, of))
         lows, highs = np.full((len(q), width), np.inf), np.full((len(q), width), -np.inf)
         for i, scores in enumerate(of):
             lows[i, : len(scores)] = [-(-low * p // 100) for p in scores]
             highs[i, : len(scores)] = [high * p // 100 for p in scores]
-    search = Search(x, vectors.ids_of(held["vec_id"]), copies, q, lows, highs, k)
+    search = Search(x, vectors.ids_of(held["vec_id"]), copies, vectors.places_of(rows, own), q, lows, highs, k)
     asked = wanted["label"].to_numpy()
     for label, part in _by_label(held["label"].to_numpy()):
         active = np.flatnonzero((asked == label) == same)
         if len(active):
-            search.walk(ball_tree(search.fx, part), active, barred)
+            search.walk(ball_tree(search.fx, part), active)
     query, window, row, score = search.settle()
     take = lambda t, c, at: t[c].take(pa.array(at)).combine_chunks()
     out = {"q_row": own[query], "anchor_id": take(wanted, "vec_id", query), "q_copies": wanted["copies"].to_numpy()[query], "vec_id": take(held, "vec_id", row), "score": score}

@@ -50,8 +50,9 @@ class Lists:
         outside = up @ self.values[:, self.n - depth] + down @ self.values[:, depth - 1]
         return above, outside, up @ self.values[:, 0] + down @ self.values[:, -1]
 
-    def candidates(self, queries: np.ndarray, need: np.ndarray, k: int, own: tuple[np.ndarray, np.ndarray], copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, row) of the rows that can be among the k best of the queries, which must reach need."""
+    def candidates(self, queries: np.ndarray, need: np.ndarray, k: int, own: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) of the rows that can be among the k best of the queries, which must reach need;
+        own has the (queries, rows) that are left out."""
         q = queries.astype(np.float64)
         up, down = np.maximum(q, 0), np.minimum(q, 0)
         slack = 1e-9 * (np.abs(q) @ np.abs(self.x).max(axis=0))  # for components too large for exact sums
@@ -78,11 +79,12 @@ def search_block(held: pa.Table, wanted: pa.Table, k: int = K) -> dict:
     while a < len(x):
         b = min(len(x), a + size)
         lists = Lists(x[a:b])
-        mine = vectors.without_own(rows[a:b], copies[a:b], own)
+        place = vectors.places_of(rows[a:b], own)
+        alone = np.flatnonzero((place >= 0) & (copies[a:b][place] == 1))
         for s in range(0, len(q), BUNCH):
             bunch = slice(s, min(len(q), s + BUNCH))
-            at = (mine[0] >= s) & (mine[0] < bunch.stop)
-            i, row = lists.candidates(q[bunch], need[bunch], k, (mine[0][at] - s, mine[1][at]), copies[a:b])
+            mine = alone[(alone >= s) & (alone < bunch.stop)]
+            i, row = lists.candidates(q[bunch], need[bunch], k, (mine - s, place[mine]))
             score = vectors.pair_scores(q, x, i + s, row + a)
             found = [np.concatenate(c) for c in zip(found, (i + s, row + a, score), strict=True)]
         # a query's own row counts one copy less

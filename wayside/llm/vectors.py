@@ -113,10 +113,8 @@ def ranked(found: DataFrame, by: list[str], k: int) -> DataFrame:
     return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("copies")
 
 
-def without_own(rows: np.ndarray, copies: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(i, c): where row c is the query's own (row number own[i]) and has no other copy."""
+def places_of(rows: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Where in a block each query's own row is (row numbers own), or -1."""
     order = np.argsort(rows)
-    at = np.minimum(np.searchsorted(rows, own, sorter=order), len(rows) - 1)
-    c = order[at]
-    hit = (rows[c] == own) & (copies[c] == 1)
-    return np.flatnonzero(hit), c[hit]
+    at = order[np.minimum(np.searchsorted(rows, own, sorter=order), len(rows) - 1)]
+    return np.where(rows[at] == own, at, -1)
