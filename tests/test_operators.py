@@ -155,7 +155,7 @@ def test_point_in_ring_and_empty_inputs(spark):
     ("NIGHT REGULATION NO STANDING 8PM-6AM ALL DAYS", dict(action="stand", from_min=1200, to_min=360, confidence=1.0)),
     ("3 HOUR PARKING 9AM-6PM MON-FRI (SYMBOL) COMMERCIAL VEHICLES ONLY", dict(vehicle="commercial", exclusive=True, days=31, limit_min=180)),
     ("TRUCK (SYMBOL) FARMERS MARKET ONLY JUNE 1 - NOV 30 WEDNESDAY 8AM-4PM -->", dict(exclusive=True, season_from=601, season_to=1130, days=4, arrow="one")),
-    ("2 HOUR PARKING GIBBERISH", dict(permitted=True, confidence=0.0)),
+    ("2 HOUR PARKING GIBBERISH", dict(action=None, permitted=None, confidence=0.0)),
     ("NO PARKING GIBBERISH", dict(permitted=False, confidence=0.7)),
     ("HELLO", dict(action=None, confidence=0.0)),
 ])

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import signs
@@ -19,6 +18,13 @@ SIGNS = [
     "NO PARKING (SANITATION BROOM SYMBOL) MOON & STARS (SYMBOLS) MONDAY THURSDAY MIDNIGHT-3AM <->",
     "METERS ARE NOT IN EFFECT ABOVE TIMES (SUPERSEDES AB-473)", "NO STANDING (SINGLE ARROW) HANDICAP BUS (SYMBOL) W/4 ROUTES",
     "2 HMP 7AM-6PM EXCEPT SUNDAY 6 HMP 6PM-MIDNIGHT EXCEPT SUNDAY",
+    "6 HMP MONDAY-FRIDAY 6PM-MIDNIGHT SATURDAY 8AM-MIDNIGHT <->", "NO STANDING MONDAY-FRIDAY 7AM-10AM 4PM-7PM",
+    "NO STANDING 5PM-MIDNIGHT MON-FRI EXCEPT TLC LICENSED VEHICLES PRE-ARRANGED SERVICE ONLY W/ SINGLE ARROW", "NO STANDING FIRE ZONE", "NO STANDING HOTEL LOADING ZONE -->",
+    "BUS STOP SIGN (BUS & HANDICAP SYMBOLS) NO STANDING <----->", "MICROHUB (SYMBOL) MICROHUB ZONE VEHICLES WITH PERMIT ONLY <->",
+    "NO STANDING 8AM-6PM EXCEPT SUNDAY --> W/ ACCESS-A-RIDE (SYMBOL) ACCESS-A-RIDE BUS STOP", "FHV (SYMBOL) FOR-HIRE VEHICLES ONLY PICK-UP / DROP-OFF ONLY -->",
+    "FOR HIRE VEHICLE (SYMBOL) FOR HIRE VEHICLES ONLY MONDAY -FRIDAY 8AM-MIDNIGHT <->", "2 HMP 9AM-7PM EXCEPT SUNDAY QWERTYUIOP", "NO PARKING ANYTIME QWERTYUIOP",
+    #: further texts
+    "2 HMP 25AM-9AM", "2 HMP 8AM-9:75PM", "1 HOUR PARKING 8-6", "2 HMP 8AM-10AM MONDAY 2PM-6PM SATURDAY", "NO STANDING 7AM-10AM OTHER TIMES NO PARKING", "NO PARKING MON THU RSDAY 10A M-11:30AM SW-473 REV 5-7-98",
 ]
 
 
@@ -50,6 +56,28 @@ GOLDEN = [
     (14, 1, "stand", False, "all", False, 127, None, None, False, None, None, None, "one", 1.0),
     (15, 1, "park", True, "all", False, 63, 420, 1080, True, 120, None, None, "none", 1.0),
     (15, 2, "park", True, "all", False, 63, 1080, 0, True, 360, None, None, "none", 1.0),
+    (16, 1, "park", True, "all", False, 31, 1080, 0, True, 360, None, None, "both", 1.0),
+    (16, 2, "park", True, "all", False, 32, 480, 0, True, 360, None, None, "both", 1.0),
+    (17, 1, "stand", False, "all", False, 31, 420, 600, False, None, None, None, "none", 1.0),
+    (17, 2, "stand", False, "all", False, 31, 960, 1140, False, None, None, None, "none", 1.0),
+    (18, 1, "stand", False, "all", False, 31, 1020, 0, False, None, None, None, "one", 1.0),
+    (19, 1, "stand", True, "authorized", True, 127, None, None, False, None, None, None, "none", 1.0),
+    (20, 1, "stand", True, "other", True, 127, None, None, False, None, None, None, "one", 1.0),
+    (21, 1, "stand", True, "bus", True, 127, None, None, False, None, None, None, "both", 1.0),
+    (22, 1, "stand", True, "other", True, 127, None, None, False, None, None, None, "both", 1.0),
+    (23, 1, "stand", False, "all", False, 63, 480, 1080, False, None, None, None, "one", 1.0),
+    (23, 2, "stand", True, "bus", True, 127, None, None, False, None, None, None, "one", 1.0),
+    (24, 1, "stand", True, "taxi", True, 127, None, None, False, None, None, None, "one", 1.0),
+    (25, 1, "stand", True, "taxi", True, 31, 480, 0, False, None, None, None, "both", 1.0),
+    (26, 0, None, None, None, False, None, None, None, False, None, None, None, "none", 0.0),
+    (27, 1, "park", False, "all", False, 127, None, None, False, None, None, None, "none", 0.7),
+    (28, 0, None, None, None, False, None, None, None, False, None, None, None, "none", 0.0),
+    (29, 0, None, None, None, False, None, None, None, False, None, None, None, "none", 0.0),
+    (30, 0, None, None, None, False, None, None, None, False, None, None, None, "none", 0.0),
+    (31, 0, None, None, None, False, None, None, None, False, None, None, None, "none", 0.0),
+    (32, 1, "stand", False, "all", False, 127, 420, 600, False, None, None, None, "none", 0.7),
+    (32, 2, "park", False, "all", False, 127, None, None, False, None, None, None, "none", 0.7),
+    (33, 1, "park", False, "all", False, 9, 600, 690, False, None, None, None, "none", 1.0),
 ]
 _GOLDEN_COLUMNS = "sign_no rule action permitted vehicle exclusive days from_min to_min metered limit_min season_from season_to arrow confidence".split()
 
@@ -64,7 +92,7 @@ def sign_rules(spark, d):
     """The rules of every sign text against those worked out by hand."""
     texts = spark.createDataFrame(list(enumerate(SIGNS)), "sign_no int, sign string")
     posted = read(spark, d, "part").select((F.col("p_partkey") % len(SIGNS)).cast("int").alias("sign_no")).join(F.broadcast(texts), "sign_no")  # a row per literal
-    rules = signs.read_signs(posted, "sign").withColumn("rule", F.row_number().over(Window.partitionBy("sign").orderBy("ordinal", "from_min")))
+    rules = signs.read_signs(posted, "sign").withColumnRenamed("ordinal", "rule")
     return posted.groupBy("sign_no", "sign").agg(F.count("*").alias("n_posts")).join(rules, "sign").select(*_GOLDEN_COLUMNS, "n_posts")
 
 
