@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 #: fixed values: metres a degree, and the Lambert conformal conic of the state plane (US survey feet)
 METRES_LAT, METRES_LON = 111_132.0, 111_320.0
 CONIC = dict(lat1=40 + 2 / 3, lat2=41 + 1 / 30, lat0=40 + 1 / 6, lon0=-74.0, east=300_000.0, a=6_378_137.0, f=1 / 298.257222101)
@@ -59,20 +61,6 @@ def dead_ends(edges: DataFrame, a: str, b: str, starts: DataFrame, hops: int = 3
     return walk.select("start", "node", "depth", F.coalesce("how", F.lit("cut off")).alias("how"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the session's shared folder; one local process may do without it."""
-    import os
-    import tempfile
-
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir names no shared folder")
-        context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "wayside-checkpoints"))
-    return df.checkpoint(eager=True)
-
-
 def within_radius(rows: DataFrame, x: str, y: str, cx: float, cy: float, r: float) -> DataFrame:
     """A box that the scan can prune by, then the exact distance."""
     box = F.col(x).between(cx - r, cx + r) & F.col(y).between(cy - r, cy + r)

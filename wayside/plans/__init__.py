@@ -1,6 +1,6 @@
 """Whole queries composed of the operators, with their SQL counterparts."""
 
-from . import blocks, places, profiling, rules, search, spans, staging, texts
+from . import blocks, curbs, places, profiling, rules, search, spans, staging, texts
 from .tables import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "blocks", "places", "profiling", "rules", "search", "spans", "staging", "texts"]
+__all__ = ["ORACLES", "QUERIES", "blocks", "curbs", "places", "profiling", "rules", "search", "spans", "staging", "texts"]
