@@ -3,8 +3,8 @@
 A document's set is its distinct 3-word shingles (k is a parameter), as 64-bit hashes. Documents with
 equal sets are one class from the start. A class has a signature of COORDINATES minima; it is posted
 under (coordinate, value) pairs. Two documents of the wanted similarity agree in at least
-matches_for() coordinates but for two links in a million at most, so they meet under one of their
-COORDINATES - matches + 1 rarest pairs: only those are posted (the prefix), pairs that one class
+matches_for() coordinates but for two links in a million at most, so they meet under two of their
+COORDINATES - matches + 2 rarest pairs: only those are posted (the prefix), pairs that one class
 alone has are skipped, and lists of common values are never merged. Collisions of coordinates are
 then counted on the signatures, and pairs with as many matches are confirmed on the full sets.
 
@@ -14,7 +14,10 @@ links found make components; what is left are pairs of classes in different comp
 those compared. Only lists that still hold such pairs are gone through. Of each pair left, one is a
 stranger: outside its list's largest component. Members are dealt to blocks of about BLOCK classes
 or BLOCK_BYTES of sets, strangers likewise, and every member block meets every stranger block, so a
-list of n members with few strangers costs about n rows. A task counts collisions of a block pair in
+list of n members with few strangers costs about n rows. A list with more than a block of strangers is
+gone through by a second value: its classes meet under each other value of their prefixes (with a
+larger coordinate, as a pair belongs to the first two values that it shares), so a value that many
+classes share and nothing else brings no two of them together. A task counts collisions of a block pair in
 numpy, confirms on the full sets it was given, and returns links that join components, at most one
 fewer than its classes. Every join on a value, a leader or a hub, which may hold very many rows, is
 followed by an exchange on other columns, so Spark may split its tasks (adaptive skew joins).
@@ -96,15 +99,15 @@ def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 
 
 def postings(classes: DataFrame, matches: int) -> DataFrame:
-    """key, rep, common: the prefix postings of classes (rep, sig); common grows with how usual a
-    class's values are."""
+    """key, rep, common: the prefix postings of classes (rep, sig), in which two classes with enough
+    matches share two keys (one, if one match is enough); common grows with how usual a class's values are."""
     each = classes.select("rep", F.posexplode("sig").alias("c", "v"))
     each = each.select("rep", F.shiftleft(F.col("c").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(0xFFFFFFFF)).alias("key"))
     shared = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     lists = each.join(shared, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("found"))
     # values that no other class has are the rarest: they use up the prefix first
     room = F.size("found") - matches + 1
-    prefix = F.expr(f"slice(found, 1, greatest(0, size(found) - {matches - 1}))")
+    prefix = F.expr(f"slice(found, 1, greatest(0, size(found) - {max(0, matches - 2)}))")
     rows = lists.where(room > 0).select("rep", F.expr("aggregate(found, 0L, (a, x) -> a + x.n)").alias("common"), F.explode(prefix).alias("p"))
     return rows.select("p.key", "rep", "common")
 
@@ -177,16 +180,17 @@ def components(links: DataFrame) -> DataFrame:
         edges = cut(small)
 
 
-def _block_links(sig_x, mask_x, comp_x, sets_x, rep_x, other_x, sig_y, mask_y, comp_y, sets_y, rep_y, coordinate, percent, matches):
+def _block_links(sig_x, mask_x, comp_x, sets_x, rep_x, other_x, sig_y, mask_y, comp_y, sets_y, rep_y, first, second, percent, matches):
     """Indices (i, j) of links between members x and strangers y of a list that join components not yet
-    joined; other_x marks members that are strangers too, whose pairs count once."""
+    joined; other_x marks members that are strangers too, whose pairs count once. first and second are the
+    coordinates of the list (second is -1 where it has one)."""
     live = comp_x[:, None] != comp_y[None, :]
     live &= ~(other_x[:, None] & (rep_x[:, None] > rep_y[None, :]))
     hits = np.zeros(live.shape, np.uint8)
     for c in range(COORDINATES):
         equal = sig_x[:, c][:, None] == sig_y[:, c][None, :]
         hits += equal
-        if c < coordinate:  # a pair belongs to the first list that both are posted in
+        if c < max(first, second) and c != first:  # a pair belongs to the first list that both are posted in
             bit = np.int64(1) << np.int64(c)
             live &= ~(equal & (mask_x & bit != 0)[:, None] & (mask_y & bit != 0)[None, :])
     i, j = np.nonzero(live & (hits >= matches))
@@ -206,46 +210,60 @@ def _block_links(sig_x, mask_x, comp_x, sets_x, rep_x, other_x, sig_y, mask_y, c
             yield a, b
 
 
-def block_rows(posted: DataFrame, classes: DataFrame, roots: DataFrame, block: int) -> DataFrame:
-    """key, i, j, stranger (which side), other, rep, comp, sig, mask: what tasks (key, i, j) compare. A
-    member is in its block i with every stranger block j, a stranger in its block j with every i; in a
-    list of one block the members marked other are the strangers."""
+def _sized(rows: DataFrame, block: int) -> DataFrame:
+    """The lists (key, second) of rows that hold several components: the largest, and in how many blocks all
+    members and the strangers are dealt."""
+    held = rows.groupBy("key", "second", "comp").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    held = held.groupBy("key", "second").agg(F.max(F.struct("n", "comp", "bytes")).alias("most"), F.count("*").alias("comps"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).where("comps > 1")
+    blocks = lambda n, size: F.greatest(F.ceil(n / block), F.ceil(size / BLOCK_BYTES)).cast("int")
+    strange = blocks(F.col("n") - F.col("most.n"), F.col("bytes") - F.col("most.bytes"))
+    return held.select("key", "second", F.col("most.comp").alias("largest"), blocks(F.col("n"), F.col("bytes")).alias("many"), strange.alias("strange"))
+
+
+def block_rows(posted: DataFrame, classes: DataFrame, roots: DataFrame, block: int, two: bool = True) -> DataFrame:
+    """key, second, i, j, stranger (which side), other, rep, comp, sig, mask: what tasks (key, second, i, j)
+    compare. A member is in its block i with every stranger block j, a stranger in its block j with every i; in
+    a list of one block the members marked other are the strangers. A list of more than a block of strangers is
+    split by the second key that its classes share (if two: candidates do), else second is -1."""
     top = posted.groupBy("key").agg(F.max(F.struct("common", "rep")).alias("top")).select("key", F.col("top.rep").alias("leader"))
     rows = posted.join(top, "key").where("rep <> leader")
     mask = posted.groupBy("rep").agg(F.expr("bit_or(shiftleft(1L, cast(shiftright(key, 32) AS int)))").alias("mask"))
     own = classes.join(roots, classes["rep"] == roots["node"], "left").select("rep", F.coalesce("root", "rep").alias("comp"), "sig", (8 * F.col("n_shingles")).alias("bytes")).join(mask, "rep")
-    rows = rows.select("key", "rep").join(own.select("rep", "comp", "bytes"), "rep")
-    held = rows.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
-    held = held.groupBy("key").agg(F.max(F.struct("n", "comp", "bytes")).alias("most"), F.count("*").alias("comps"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).where("comps > 1")
-    blocks = lambda n, size: F.greatest(F.ceil(n / block), F.ceil(size / BLOCK_BYTES)).cast("int")
-    lists = held.select("key", F.col("most.comp").alias("largest"), blocks(F.col("n"), F.col("bytes")).alias("many"), blocks(F.col("n") - F.col("most.n"), F.col("bytes") - F.col("most.bytes")).alias("strange"))
-    rows = rows.join(lists, "key").withColumn("other", F.col("comp") != F.col("largest"))
+    rows = rows.select("key", "rep").join(own.select("rep", "comp", "bytes"), "rep").withColumn("second", F.lit(-1).cast("long"))
+    lists = cut(_sized(rows, block))
+    strange = lists.where("strange > 1").select("key")
+    if two and not strange.isEmpty():
+        again = rows.join(strange, "key").drop("second").join(posted.select("rep", F.col("key").alias("second")), "rep").where("shiftright(second, 32) > shiftright(key, 32)")
+        again = cut(again.select("key", "rep", "comp", "bytes", "second"))
+        lists = lists.where("strange <= 1").unionByName(_sized(again, block))
+        rows = rows.select("key", "rep", "comp", "bytes", "second").unionByName(again)
+    rows = rows.join(lists, ["key", "second"]).withColumn("other", F.col("comp") != F.col("largest"))
     place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     members = rows.withColumns({"i": place("many"), "stranger": F.lit(False)}).withColumn("j", each("strange"))
     strangers = rows.where("other AND many > 1").withColumns({"j": place("strange"), "stranger": F.lit(True)}).withColumn("i", each("many"))
-    out = ["key", "i", "j", "stranger", "other", "rep"]
+    out = ["key", "second", "i", "j", "stranger", "other", "rep"]
     return members.select(*out).unionByName(strangers.select(*out)).join(own.drop("bytes"), "rep")
 
 
 def remaining_links(posted: DataFrame, classes: DataFrame, roots: DataFrame, docs: DataFrame, k: int, percent: int, block: int = BLOCK) -> DataFrame:
     """Links between components that star_pairs did not see, (a, b)."""
-    rows = cut(block_rows(posted, classes, roots, block))
+    rows = cut(block_rows(posted, classes, roots, block, matches_for(percent) > 1))
     sets = cut(sets_of(docs, cut(rows.select("rep").distinct()), k))
     rows = rows.join(sets, "rep")
 
     def group(table: pa.Table) -> pa.Table:
         get = lambda c: table[c].combine_chunks()
-        coordinate = table["key"][0].as_py() >> 32
+        first, second = table["key"][0].as_py() >> 32, table["second"][0].as_py()
         side, other, rep, comp, mask = (get(c).to_numpy(zero_copy_only=False) for c in ("stranger", "other", "rep", "comp", "mask"))
         sig = get("sig").flatten().to_numpy(zero_copy_only=False).reshape(-1, COORDINATES)
         members = [np.frombuffer(m, np.uint64) for m in get("members").to_pylist()]
         s, t = np.flatnonzero(~side.astype(bool)), np.flatnonzero(side if side.any() else other)
         of = lambda at: (sig[at], mask[at], comp[at], [members[v] for v in at], rep[at])
-        found = [(rep[s[a]], rep[t[b]]) for a, b in _block_links(*of(s), other[s].astype(bool), *of(t), coordinate, percent, matches_for(percent))]
+        found = [(rep[s[a]], rep[t[b]]) for a, b in _block_links(*of(s), other[s].astype(bool), *of(t), first, second >> 32 if second >= 0 else -1, percent, matches_for(percent))]
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
-    return rows.groupBy("key", "i", "j").applyInArrow(group, "a long, b long").distinct()
+    return rows.groupBy("key", "second", "i", "j").applyInArrow(group, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = MIN_PERCENT) -> DataFrame:
