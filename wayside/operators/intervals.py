@@ -179,3 +179,29 @@ def caveats(pieces: DataFrame, rules: DataFrame, calendar: DataFrame, key: str,
         F.when(F.col("absent"), "nothing posted").when(F.col("partly"), "nothing posted in part"),
     )
     return spans.select(key, F.filter(said, lambda x: x.isNotNull()).alias("caveats"))
+
+
+def effect_keys(rules: DataFrame, stack: str, seasons: tuple[int, ...] = (115, 415, 715, 1015), step: int = 5) -> DataFrame:
+    """stack, effect: a hash of what a stack of rules means to a passenger car in every slot of `step` minutes of a week,
+    at some days of the year (month * 100 + day). Stacks of the same effect mean the same, however they are worded.
+
+    A slot is forbidden with the severest action, or permitted with its tightest limit and whether it is metered, or
+    not spoken of. A stack is a few rules: they are held in its row, and no slot becomes a row."""
+    fields = ["action", "permitted", "vehicle", "exclusive", "days", "from_min", "to_min", "season_from", "season_to", "metered", "limit_min", "except_sunday"]
+    held = rules.groupBy(stack).agg(F.collect_list(F.struct(*fields)).alias("_r"))
+    per_day = 1440 // step
+    slots = F.sequence(F.lit(0), F.lit(7 * per_day * len(seasons) - 1))
+
+    def said(s: Column) -> Column:
+        season = F.get(F.array(*map(F.lit, seasons)), (s / (7 * per_day)).cast("int"))
+        day, minute = (s % (7 * per_day) / per_day).cast("int"), s % per_day * step
+        on = lambda r: fn.has_day(r["days"], day) & ~(r["except_sunday"] & (day == 6)) & fn.in_season(season, r["season_from"], r["season_to"]) & fn.in_clock_range(minute, r["from_min"], r["to_min"])
+        says = lambda r: F.coalesce(applies(r["permitted"], r["vehicle"], r["exclusive"]), F.lit(None).cast("boolean"))
+        rank = lambda r: F.coalesce(*[F.when(r["action"] == a, n) for a, n in RANKS.items()], F.lit(0))
+        ban = F.array_max(F.transform("_r", lambda r: F.when(on(r) & ~says(r), rank(r))))
+        yes = lambda r: on(r) & says(r) & (r["action"] == "park")
+        limit = F.array_min(F.transform("_r", lambda r: F.when(yes(r), F.coalesce(r["limit_min"], F.lit(1 << 30)))))
+        metered = F.coalesce(F.array_max(F.transform("_r", lambda r: F.when(yes(r), r["metered"].cast("int")))), F.lit(0))
+        return F.when(ban.isNotNull(), F.concat(F.lit("n"), ban.cast("string"))).when(limit.isNotNull(), F.concat(F.lit("p"), limit.cast("string"), F.lit("m"), metered.cast("string"))).otherwise("-")
+
+    return held.select(stack, F.sha2(F.array_join(F.transform(slots, said), ","), 256).alias("effect"))

@@ -61,6 +61,43 @@ def dead_ends(edges: DataFrame, a: str, b: str, starts: DataFrame, hops: int = 3
     return walk.select("start", "node", "depth", F.coalesce("how", F.lit("cut off")).alias("how"))
 
 
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """node, root (the smallest node that can be reached) of every node of an undirected edge list.
+
+    In turn, every node's larger neighbours are linked to its smallest neighbour, then its smaller
+    ones are; both are groupings with partial minima, so a hub is summarised before the shuffle. Rounds
+    grow with the logarithm of the longest way; each is cut, and the driver sees a count and a sum.
+    """
+    links = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    alone = links.where("u = v").select(F.col("u").alias("node"))
+    links, before = cut(links.where("u <> v").distinct()), None
+    while True:
+        now = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38, 0)")).alias("h")).first()
+        if now == before or not now.n:
+            break
+        before = now
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        up = both.join(low, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = up.groupBy("u").agg(F.min("v").alias("m"))
+        links = cut(up.join(low, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(low.toDF("u", "v")).distinct())
+    roots = links.select(F.col("v").alias("node"), F.col("v").alias("root")).unionByName(alone.select("node", F.col("node").alias("root"))).distinct()
+    members = links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
+    return members.unionByName(roots.join(members.select("node"), "node", "left_anti"))
+
+
+def reachability(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """A row for each connected part of a network: root, nodes, edges, ends (nodes of one edge), isolated (not the largest)."""
+    parts = components(edges, a, b)
+    sizes = parts.groupBy("root").agg(F.count("*").alias("nodes"))
+    real = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    lines = real.join(parts, real[a] == parts["node"]).groupBy("root").agg(F.count("*").alias("edges"))
+    ends = both_ways(real, a, b).groupBy("u").agg(F.count("*").alias("d")).where("d = 1").join(parts, F.col("u") == F.col("node")).groupBy("root").agg(F.count("*").alias("ends"))
+    rows = sizes.join(lines, "root", "left").join(ends, "root", "left")
+    largest = sizes.agg(F.max(F.struct("nodes", (-F.col("root")).alias("r"))).alias("m")).select((-F.col("m.r")).alias("_most"))
+    return rows.crossJoin(F.broadcast(largest)).select("root", "nodes", F.coalesce("edges", F.lit(0)).alias("edges"), F.coalesce("ends", F.lit(0)).alias("ends"), (F.col("root") != F.col("_most")).alias("isolated"))  # one row
+
+
 def within_radius(rows: DataFrame, x: str, y: str, cx: float, cy: float, r: float) -> DataFrame:
     """A box that the scan can prune by, then the exact distance."""
     box = F.col(x).between(cx - r, cx + r) & F.col(y).between(cy - r, cy + r)

@@ -238,11 +238,24 @@ def reverse_streets(spark, d):
     return found.select("k", "n", *[F.round(c, 6).alias(c) for c in ("distance", "x", "y")])
 
 
-@query("SELECT 400 AS n, true AS exact")
+@query("SELECT c_custkey, true AS exact FROM customer")
 def lcc_roundtrip(spark, d):
-    grid = spark.range(400).select((F.col("id") % 20 * 0.01 - 74.05).alias("lon"), (F.floor(F.col("id") / 20) * 0.01 + 40.68).alias("lat"))
+    """Customers spread over a grid of degrees, to the plane and back."""
+    k = F.col("c_custkey")
+    grid = read(spark, d, "customer").select(k, (k % 200 * 0.001 - 74.05).alias("lon"), (F.floor(k / 200) % 200 * 0.001 + 40.68).alias("lat"))
     x, y = network.to_plane(F.col("lon"), F.col("lat"))
-    rows = grid.withColumns({"x": x, "y": y})
     lon, lat = network.to_degrees(F.col("x"), F.col("y"))
-    worst = F.max(F.greatest(F.abs(lon - F.col("lon")), F.abs(lat - F.col("lat"))))
-    return rows.agg(F.count("*").cast("int").alias("n"), (worst < 1e-10).alias("exact"))
+    back = grid.withColumns({"x": x, "y": y})
+    return back.select("c_custkey", (F.greatest(F.abs(lon - F.col("lon")), F.abs(lat - F.col("lat"))) < 1e-10).alias("exact"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT l_partkey % 5000 * 2 AS a, l_suppkey % 7 * 2000 + l_partkey % 40 * 2 + 1 AS b FROM lineitem WHERE l_quantity < 4), both_ways AS (SELECT a AS u, b AS v FROM e UNION SELECT b, a FROM e),
+    r AS (SELECT u AS node, u AS root FROM both_ways UNION SELECT b.v, r.root FROM r JOIN both_ways b ON b.u = r.node), c AS (SELECT node, min(root) AS root FROM r GROUP BY node),
+    s AS (SELECT root, count(*) AS nodes FROM c GROUP BY root), l AS (SELECT root, count(*) AS edges FROM e JOIN c ON c.node = e.a GROUP BY root),
+    d AS (SELECT root, count(*) AS ends FROM (SELECT u FROM both_ways GROUP BY u HAVING count(*) = 1) JOIN c ON c.node = u GROUP BY root)
+    SELECT root, nodes, edges, coalesce(ends, 0) AS ends, root <> (SELECT arg_max(root, (nodes, -root)) FROM s) AS isolated FROM s JOIN l USING (root) LEFT JOIN d USING (root)""")
+def network_parts(spark, d):
+    """Connected parts of the network that small orders make of parts and suppliers, with their sizes and ends."""
+    k, s = F.col("l_partkey"), F.col("l_suppkey")
+    edges = read(spark, d, "lineitem").where("l_quantity < 4").select((k % 5000 * 2).alias("a"), (s % 7 * 2000 + k % 40 * 2 + 1).alias("b"))
+    return network.reachability(edges, "a", "b")

@@ -171,22 +171,30 @@ def side_best(spark, d):
     return rows.groupBy("o_custkey").agg(F.min_by("verdict", rank).alias("best"), F.count("*").alias("n"))
 
 
-@query("""SELECT * FROM (VALUES ('spring', 120), ('autumn day', 1500), ('plain', 180), ('gap', 0), ('midnight', 120)) t(name, minutes)""")
+_SHIFT = "CASE WHEN {0} < TIMESTAMP '2026-03-08 03:00' OR {0} >= TIMESTAMP '2026-11-01 02:00' THEN 300 ELSE 240 END"
+
+
+@query(f"""WITH w AS (SELECT o_orderkey, TIMESTAMP '2026-01-01' + to_days(CAST(o_orderkey % 364 AS INT)) + to_minutes(CAST(o_orderkey * 7 % 1440 AS INT)) AS s FROM orders), x AS (SELECT *, s + INTERVAL 26 HOUR AS e FROM w)
+    SELECT o_orderkey, CAST(1560 + {_SHIFT.format('e')} - {_SHIFT.format('s')} AS INT) AS minutes FROM x""")
 def dst_elapsed(spark, d):
-    rows = [("spring", "2026-03-08 01:00", "2026-03-08 04:00"), ("autumn day", "2026-11-01 00:00", "2026-11-02 00:00"), ("plain", "2026-09-19 10:00", "2026-09-19 13:00"), ("gap", "2026-03-08 02:30", "2026-03-08 03:30"), ("midnight", "2026-09-19 23:00", "2026-09-20 01:00")]
-    wall = spark.createDataFrame(rows, "name string, s string, e string").select("name", F.to_timestamp_ntz("s").alias("start"), F.to_timestamp_ntz("e").alias("end"))
-    return intervals.cut_windows(wall, F.array().cast("array<int>")).groupBy("name").agg(F.sum("minutes").cast("int").alias("minutes"))
+    """Minutes that pass in windows of 26 hours by the wall clock, all through a year with both changes of the clock."""
+    k = F.col("o_orderkey")
+    start = F.lit("2026-01-01").cast("timestamp_ntz") + F.make_dt_interval((k % 364).cast("int"), F.lit(0), (k * 7 % 1440).cast("int"))
+    wall = read(spark, d, "orders").select("o_orderkey", start.alias("start")).withColumn("end", F.col("start") + F.make_dt_interval(F.lit(0), F.lit(26)))
+    return intervals.cut_windows(wall, F.array().cast("array<int>")).groupBy("o_orderkey").agg(F.sum("minutes").cast("int").alias("minutes"))
 
 
-@query(f"""WITH {_BASE}, slots AS (SELECT CAST(s.s AS INT) AS slot, CAST(s.s // 288 AS INT) AS day, CAST(s.s % 288 * 5 AS INT) AS minute FROM range(2016) s(s))
-    SELECT slot, stack, CAST(max(CASE WHEN ((days >> day) & 1) = 1 AND NOT (except_sunday AND day = 6) AND CASE WHEN from_min IS NULL THEN true WHEN to_min > from_min THEN minute >= from_min AND minute < to_min
-        ELSE minute >= from_min OR minute < to_min END AND NOT permitted AND vehicle = 'all' THEN CASE action WHEN 'park' THEN 1 WHEN 'stand' THEN 2 ELSE 3 END ELSE 0 END) AS INT) AS effect
-    FROM slots, rules GROUP BY ALL""")
+@query("""WITH rules AS (SELECT s_suppkey AS stack, s_suppkey % 127 + 1 AS days, s_suppkey * 7 % 1440 AS from_min, s_suppkey * 13 % 1440 AS to_min, s_suppkey % 3 + 1 AS rank, s_suppkey % 4 = 0 AS except_sunday FROM supplier),
+    slots AS (SELECT CAST(s.s AS INT) AS slot, CAST(s.s // 288 AS INT) AS day, CAST(s.s % 288 * 5 AS INT) AS minute FROM range(2016) s(s))
+    SELECT slot, stack, CAST(CASE WHEN ((days >> day) & 1) = 1 AND NOT (except_sunday AND day = 6) AND CASE WHEN to_min > from_min THEN minute >= from_min AND minute < to_min ELSE minute >= from_min OR minute < to_min END THEN rank ELSE 0 END AS INT) AS effect
+    FROM slots, rules""")
 def slot_effect(spark, d):
     from ..functions import common as fn
 
-    rules = _rules(spark).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(2015))))
+    k = F.col("s_suppkey")
+    rules = read(spark, d, "supplier").select(
+        k.alias("stack"), (k % 127 + 1).cast("int").alias("days"), (k * 7 % 1440).cast("int").alias("from_min"), (k * 13 % 1440).cast("int").alias("to_min"), (k % 3 + 1).cast("int").alias("rank"), (k % 4 == 0).alias("except_sunday"),
+    ).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(2015))))
     day, minute = F.floor(F.col("slot") / 288).cast("int"), F.col("slot") % 288 * 5
-    on = fn.has_day(F.col("days"), day) & ~(F.col("except_sunday") & (day == 6)) & fn.in_clock_range(minute, F.col("from_min"), F.col("to_min")) & ~F.col("permitted") & (F.col("vehicle") == "all")
-    rank = F.when(F.col("action") == "park", 1).when(F.col("action") == "stand", 2).otherwise(3)
-    return rules.groupBy("slot", "stack").agg(F.max(F.when(on, rank).otherwise(0)).alias("effect"))
+    on = fn.has_day(F.col("days"), day) & ~(F.col("except_sunday") & (day == 6)) & fn.in_clock_range(minute, F.col("from_min"), F.col("to_min"))
+    return rules.select("slot", "stack", F.when(on, F.col("rank")).otherwise(0).alias("effect"))

@@ -10,7 +10,7 @@ from ..functions import common as fn
 from ..operators import names, network, ranking
 from .rules import _BASE, _VERDICTS, _verdicts
 from .spans import _RATES
-from .tables import query, read
+from .tables import posted, query, read, sql_posted
 
 
 def score_results(spans: DataFrame, verdicts: DataFrame, key: str, rates: Column) -> DataFrame:
@@ -94,9 +94,10 @@ _TYPED = {
 }
 
 
-@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in (k, *row)) + ")" for k, row in _TYPED.items()) + ") t(typed, kind, a, b, number)")
+@query(sql_posted([(k, *row) for k, row in _TYPED.items()], "typed, kind, a, b, number"))
 def query_kinds(spark, d):
-    return spark.createDataFrame([(k,) for k in _TYPED], "typed string").select("typed", query_kind(F.col("typed")).alias("q")).select("typed", "q.*")
+    rows = posted(spark, d, list(_TYPED), "typed").groupBy("typed").agg(F.count("*").alias("n_posts"))
+    return rows.select("typed", query_kind(F.col("typed")).alias("q"), "n_posts").select("typed", "q.*", "n_posts")
 
 
 def snap_confidence(name_quality: Column, n_members: Column, distance: Column, length: Column, off: Column, unclear_side: Column) -> Column:

@@ -60,14 +60,14 @@ def sink_refusals(spark, d):
     return staging.refusals(read(spark, d, "orders"), price, shape)
 
 
-_FILES = ["days-2024.ics", "days-2025-draft.ics", "days-2026.ics", "days-2025.ics"]
-
-
-@query("SELECT * FROM (VALUES ('2025', 'days-2025.ics'), ('2031', 'days-2026.ics'), ('any', 'days-2026.ics')) t(year, name)")
+@query("""WITH f AS (SELECT 'days-' || (1990 + s_suppkey % 38) || CASE WHEN s_suppkey % 3 = 0 THEN '-draft' ELSE '' END || '.ics' AS name FROM supplier)
+    SELECT year, coalesce((SELECT max(name) FROM f WHERE contains(name, year)), (SELECT max(name) FROM f)) AS name FROM (VALUES ('1995'), ('2025'), ('2031'), ('any')) t(year)""")
 def newest_files(spark, d):
-    files = spark.createDataFrame([(f,) for f in _FILES], "name string")
+    """The newest of the files that suppliers sent, for a year, for one that none names, and for any."""
+    k = F.col("s_suppkey")
+    files = read(spark, d, "supplier").select(F.concat(F.lit("days-"), (1990 + k % 38).cast("string"), F.when(k % 3 == 0, "-draft").otherwise(""), F.lit(".ics")).alias("name"))
     pick = lambda year, label: staging.newest_file(files, "name", year).select(F.lit(label).alias("year"), "name")
-    return pick("2025", "2025").union(pick("2031", "2031")).union(pick(None, "any"))
+    return pick("1995", "1995").union(pick("2025", "2025")).union(pick("2031", "2031")).union(pick(None, "any"))
 
 
 @query("SELECT max(p_name) FILTER (p_partkey = 2) AS one, coalesce(max(p_name) FILTER (p_partkey = -5), max(p_name) FILTER (p_partkey = 3)) AS two, NULL::VARCHAR AS three FROM part")

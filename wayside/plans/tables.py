@@ -34,8 +34,8 @@ def posted(spark: SparkSession, sf_dir: str, texts: list[str], column: str) -> D
     return parts.join(F.broadcast(rows), "_k").drop("_k")  # a row per literal
 
 
-def sql_posted(rows: list[tuple], columns: str, keep: str = "*") -> str:
+def sql_posted(rows: list[tuple], columns: str) -> str:
     """SQL of the literal rows with n_posts, the rows of `part` that have each (its place in the list, in turn)."""
     one = lambda v: "NULL" if v is None else f"'{v.replace(chr(39), 2 * chr(39))}'" if isinstance(v, str) else str(v)
     values = ", ".join(f"({i}, {', '.join(map(one, r))})" for i, r in enumerate(rows))
-    return f"SELECT {keep}, n_posts FROM (VALUES {values}) t(_k, {columns}) JOIN (SELECT p_partkey % {len(rows)} AS _k, count(*) AS n_posts FROM part GROUP BY 1) USING (_k)"
+    return f"SELECT * EXCLUDE (_k) FROM (VALUES {values}) t(_k, {columns}) JOIN (SELECT p_partkey % {len(rows)} AS _k, count(*) AS n_posts FROM part GROUP BY 1) USING (_k)"

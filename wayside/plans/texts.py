@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import signs
+from ..operators import intervals, signs
 from ..sources import snapshots
 from ..streaming import windows
-from .tables import query, read
+from .tables import posted, query, read, sql_posted
 
 #: fixed values: worked examples of the language of signs
 SIGNS = [
@@ -107,27 +107,48 @@ READ = [
 ]
 
 
-@query(f"SELECT * FROM (VALUES {_values(READ)}) t(sign, panel, outcome, family_action, arity)")
+@query(sql_posted(READ, "sign, panel, outcome, family_action, arity"))
 def sign_readings(spark, d):
-    return signs.sign_readings(spark.createDataFrame([(r[0],) for r in READ], "sign string"), "sign")
+    rows = posted(spark, d, [r[0] for r in READ], "sign")
+    return rows.groupBy("sign").agg(F.count("*").alias("n_posts")).join(signs.sign_readings(rows, "sign"), "sign")
 
 
-RATES = ["$1.50 per Hour", "$5.50 1st Hour / $9.00 2nd Hour", "$2.00 1st Hour / $3.00 2nd Hour / $4.50 Add'l", "$3.00 2nd Hour", "N/A", "", "$1.00 per hour / $2.00 2nd hour"]
+#: signs in other words: texts of one group mean the same
+SAME = [
+    ("NO PARKING 8AM-6PM MON-FRI", 0), ("NO PARKING MONDAY THRU FRIDAY 8AM TO 6PM", 0), ("NO PARKING 8AM-NOON MON-FRI NO PARKING NOON-6PM MON-FRI", 0), ("NO PARKING MON TUE WED THU FRI 8AM-6PM <->", 0),
+    ("NO STANDING ANYTIME", 4), ("NO STANDING ALL DAYS", 4), ("NO STANDING", 4), ("BUS STOP NO STANDING", 4), ("NO STOPPING ANYTIME", 8), ("NO PARKING 8AM-6PM EXCEPT SUNDAY", 9), ("NO PARKING MONDAY-SATURDAY 8AM-6PM", 9),
+    ("2 HMP 8AM-6PM", 11), ("120 MMP 8AM-6PM", 11), ("2 HOUR PARKING 8AM-6PM", 13), ("NO PARKING 8PM-6AM", 14), ("NO PARKING MIDNIGHT-6AM NO PARKING 8PM-MIDNIGHT", 14), ("NO PARKING JUNE 1 - AUG 31 8PM-6AM", 16), ("2 HMP 9AM-5PM QWERTY", 17),
+]
+
+
+@query(sql_posted(SAME, "sign, same_as"))
+def same_effect(spark, d):
+    """Signs that mean the same in every slot of a week and season, by one key; same_as is the first of them."""
+    rows = posted(spark, d, [t for t, _ in SAME], "sign")
+    keys = intervals.effect_keys(signs.read_signs(rows, "sign"), "sign")
+    place = F.create_map(*[F.lit(x) for i, (t, _) in enumerate(SAME) for x in (t, i)])
+    first = keys.groupBy("effect").agg(F.min(F.element_at(place, F.col("sign"))).alias("same_as"))
+    return rows.groupBy("sign").agg(F.count("*").alias("n_posts")).join(keys, "sign").join(first, "effect").select("sign", "same_as", "n_posts")
+
+
+RATES = [("$1.50 per Hour", "1.50"), ("$5.50 1st Hour / $9.00 2nd Hour", "5.50|9.00"), ("$2.00 1st Hour / $3.00 2nd Hour / $4.50 Add'l", "2.00|3.00|4.50"), ("$3.00 2nd Hour", ""), ("N/A", ""), ("", ""), ("$1.00 per hour / $2.00 2nd hour", "")]
 
 
-@query("""SELECT * FROM (VALUES ('$1.50 per Hour', '1.50'), ('$5.50 1st Hour / $9.00 2nd Hour', '5.50|9.00'), ('$2.00 1st Hour / $3.00 2nd Hour / $4.50 Add''l', '2.00|3.00|4.50'),
-    ('$3.00 2nd Hour', ''), ('N/A', ''), ('', ''), ('$1.00 per hour / $2.00 2nd hour', '')) t(text, rates)""")
+@query(sql_posted(RATES, "text, rates"))
 def rate_parse(spark, d):
-    rows = spark.createDataFrame([(r,) for r in RATES], "text string")
-    return rows.select("text", F.array_join(signs.hour_rates(F.col("text")).cast("array<string>"), "|").alias("rates"))
+    rows = posted(spark, d, [r[0] for r in RATES], "text").groupBy("text").agg(F.count("*").alias("n_posts"))
+    return rows.select("text", F.array_join(signs.hour_rates(F.col("text")).cast("array<string>"), "|").alias("rates"), "n_posts")
 
 
 ICS = "BEGIN:VCALENDAR\nBEGIN:VEVENT\nDTSTART;VALUE=DATE:20261225\nDTEND;VALUE=DATE:20261226\nDESCRIPTION:Alternate side parking suspended for Chris\n tmas Day. Parking meters will not be in effect.\nEND:VEVENT\nBEGIN:VEVENT\nDTSTART;VALUE=DATE:20260403\nDTEND;VALUE=DATE:20260405\nDESCRIPTION:Alternate side parking is suspended for Holy Days\\, spring. Meters remain.\nEND:VEVENT\nBEGIN:VEVENT\nDTSTART;VALUE=DATE:20260404\nDESCRIPTION:Alternate side suspended for Later Event.\nEND:VEVENT\nEND:VCALENDAR\n"
 
 
-@query("""SELECT * FROM (VALUES (DATE '2026-12-25', 'Christmas Day', true, true), (DATE '2026-04-03', 'Holy Days, spring', false, false), (DATE '2026-04-04', 'Later Event', false, false)) t(date, label, meters_suspended, is_major)""")
+@query("""SELECT CAST(make_date(CAST(2000 + n_nationkey AS INT), m, d) AS DATE) AS date, label, meters_suspended, is_major FROM nation,
+    (VALUES (12, 25, 'Christmas Day', true, true), (4, 3, 'Holy Days, spring', false, false), (4, 4, 'Later Event', false, false)) t(m, d, label, meters_suspended, is_major)""")
 def ics_parse(spark, d):
-    return snapshots.calendar_days(spark.createDataFrame([(ICS,)], "text string"), "text")
+    """A calendar a nation, each of another year."""
+    year = (2000 + F.col("n_nationkey")).cast("string")
+    return snapshots.calendar_days(read(spark, d, "nation").select(F.replace(F.lit(ICS), F.lit("2026"), year).alias("text")), "text")
 
 
 @query("""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")

@@ -28,12 +28,18 @@ def latest(manifest: DataFrame, key: str, at: str) -> DataFrame:
     return manifest.groupBy(key).agg(F.max_by(F.struct("*"), F.col(at)).alias("r")).select("r.*")
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """old with rows of equal keys replaced by new ones; of several new ones, any that sorts last."""
-    rows = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    rest = [c for c in old.columns if c not in keys]
-    last = rows.groupBy(*keys).agg(F.max(F.struct("_new", *rest)).alias("r"))
-    return last.select(*keys, *[F.col(f"r.{c}") for c in rest]).select(*old.columns)
+def upsert(old: DataFrame, batches: list[DataFrame], keys: list[str], order: str | None = None, keep: str = "last") -> DataFrame:
+    """old with the rows of several batches put in, in the order of the batches and, inside one, of the column
+    `order` (a number of arrival; without it a batch has a key once). keep="last": a row replaces what its
+    key had; keep="first": it is left out if its key is there already. All batches go in by one grouping: a key's
+    rows meet as one struct each, and only the first or last by arrival stays. Null keys are equal to each other."""
+    columns = old.columns
+    at = lambda df, n: df.select(*columns, F.struct(F.lit(n).alias("batch"), (F.col(order).cast("long") if order and n else F.lit(0).cast("long")).alias("place")).alias("_at"))
+    rows = at(old, 0)
+    for n, batch in enumerate(batches, 1):
+        rows = rows.unionByName(at(batch, n))
+    pick = F.max_by if keep == "last" else F.min_by
+    return rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(pick(F.struct(*columns), "_at").alias("r")).select("r.*")
 
 
 def calendar_days(texts: DataFrame, text: str) -> DataFrame:
@@ -60,6 +66,12 @@ def is_major(label: Column) -> Column:
     return F.exists(F.array(*map(F.lit, MAJOR)), lambda m: F.contains(plain, m))
 
 
+def publish_by(df: DataFrame, path: str, parts: list[str], ranges: list[str]) -> None:
+    """Writes df as Parquet, a folder for each value of parts, rows inside ordered by ranges, so a scan for one
+    part reads only its folder, and one for a range only the files and row groups whose bounds meet it."""
+    df.repartitionByRange(*parts, *ranges).sortWithinPartitions(*parts, *ranges).write.mode("overwrite").partitionBy(*parts).parquet(path)
+
+
 def publish(df: DataFrame, table: str, cluster_by: list[str]) -> None:
     """Writes a table sorted by its leading keys, so row groups prune range scans. Readers see the old
     files until the write is committed."""
