@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import common as fn
+from .lineage import sent_if_few
 
 ZONE = "America/New_York"
 #: fixed values: the severity of actions
@@ -26,12 +27,16 @@ def instant(wall: Column, zone: str = ZONE) -> Column:
     return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), utc)
 
 
-def cut_windows(windows: DataFrame, minutes: Column, zone: str | None = ZONE) -> DataFrame:
+def cut_windows(windows: DataFrame, minutes: Column, zone: str | None = ZONE, key: str | None = None) -> DataFrame:
     """A row per piece of each window: its columns, with piece_start, piece_end and minutes (elapsed).
 
+    With key, the windows, one narrow row each, are dealt by it first: pieces then stay with their key,
+    and neither resolving nor reducing them shuffles again while the rules are few enough to be sent.
+
     minutes is an array column of minutes of the day; midnight always cuts. The cut is made inside a
     row, without a shuffle. zone None takes the day as 1440 minutes throughout.
     """
+    windows = windows.repartition(key) if key else windows
     days = F.sequence(F.to_date("start"), F.to_date("end"))
     at = F.array_union(F.array(F.lit(0), F.lit(1440)), F.filter(F.coalesce(minutes, F.array().cast("array<int>")), lambda m: m.isNotNull()))
     walls = F.flatten(F.transform(days, lambda d: F.transform(at, lambda m: d.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), m))))
@@ -84,7 +89,7 @@ def resolve(pieces: DataFrame, rules: DataFrame, calendar: DataFrame, key: str,
     for action, n in RANKS.items():
         rank = F.when(F.col("action") == action, n).otherwise(rank)
     days = calendar.select(F.col("date").alias("_date"), *[F.col(c).alias(f"_{c}") for c in ("suspended", "meters_off", "major", "no_school")])
-    rows = pieces.join(rules, stack, "left").join(F.broadcast(days), F.to_date("piece_start") == F.col("_date"), "left")  # one row a day of a calendar
+    rows = pieces.join(sent_if_few(rules), stack, "left").join(F.broadcast(days), F.to_date("piece_start") == F.col("_date"), "left")  # one row a day of a calendar
     r, c = F.col, lambda name: F.col(f"_{name}")
     start = F.col("piece_start")
     on = F.coalesce(is_active(start, r, c), F.lit(False)) & r("rule_id").isNotNull()
@@ -124,7 +129,7 @@ def verdicts(outcomes: DataFrame, rules: DataFrame, key: str, stack: str) -> Dat
         F.min("limit_min").alias("_limit"), F.sum(F.when(limited, F.col("minutes")).otherwise(0)).alias("_in_limit"),
         F.sum("minutes").alias("minutes"), F.sum(F.when(F.col("charged"), F.col("minutes")).otherwise(0)).alias("charged_minutes"),
     )
-    rows = spans.join(stacks, stack, "left")
+    rows = spans.join(sent_if_few(stacks), stack, "left")
     why = (
         F.when(F.col("_unread").isNull(), "nothing posted").when(F.col("_unread"), "unreadable").when(F.col("_meta"), "meta").when(F.col("_unsure"), "unsure")
         .when(~F.col("_free"), F.concat(F.lit("prohibited by "), F.col("_by"), F.date_format("_first", " HH:mm")))
@@ -143,7 +148,7 @@ def coverage(pieces: DataFrame, rules: DataFrame, calendar: DataFrame, key: str,
     """For each key and rule: active minutes of the window and whether that is none, part or all;
     null for rules that cannot be read."""
     days = calendar.select(F.col("date").alias("_date"), *[F.col(c).alias(f"_{c}") for c in ("suspended", "meters_off", "major", "no_school")])
-    rows = pieces.join(rules, stack).join(F.broadcast(days), F.to_date("piece_start") == F.col("_date"), "left")
+    rows = pieces.join(sent_if_few(rules), stack).join(F.broadcast(days), F.to_date("piece_start") == F.col("_date"), "left")
     on = is_active(F.col("piece_start"), F.col, lambda name: F.col(f"_{name}"))
     sums = rows.groupBy(key, "rule_id", "readable").agg(F.sum("minutes").alias("total"), F.sum(F.when(on, F.col("minutes")).otherwise(0)).alias("active_minutes"))
     part = F.when(~F.col("readable"), None).when(F.col("active_minutes") == 0, "none").when(F.col("active_minutes") == F.col("total"), "all").otherwise("part")
@@ -156,7 +161,7 @@ def caveats(pieces: DataFrame, rules: DataFrame, calendar: DataFrame, key: str,
     part of it. A key without pieces gives no row."""
     days = calendar.select(F.col("date").alias("_date"), *[F.col(c).alias(f"_{c}") for c in ("suspended", "meters_off", "major", "no_school")])
     known = calendar.agg((F.count("*") > 0).alias("_known"))
-    rows = pieces.join(rules, stack, "left").join(F.broadcast(days), F.to_date("piece_start") == F.col("_date"), "left")  # one row a day of a calendar
+    rows = pieces.join(sent_if_few(rules), stack, "left").join(F.broadcast(days), F.to_date("piece_start") == F.col("_date"), "left")  # one row a day of a calendar
     r, c = F.col, lambda name: F.col(f"_{name}")
     start, no = F.col("piece_start"), F.lit(False)
     on = F.coalesce(is_active(start, r, c), no) & r("rule_id").isNotNull()

@@ -85,17 +85,17 @@ def _calendar(spark):
     return spark.createDataFrame(CALENDAR, "date date, suspended boolean, meters_off boolean, major boolean, no_school boolean")
 
 
-def _pieces(spark, d):
+def _pieces(spark, d, orders=None):
     start = F.col("o_orderdate") + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("o_orderkey") % 1440).cast("int"))
-    windows = read(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 9).cast("int").alias("stack"), start.alias("start"))
+    windows = (read(spark, d, "orders") if orders is None else orders).select("o_orderkey", (F.col("o_orderkey") % 9).cast("int").alias("stack"), start.alias("start"))
     windows = windows.withColumn("end", F.col("start") + F.make_dt_interval(F.lit(0), F.lit(26)))
     minutes = _rules(spark).groupBy("stack").agg(F.array_union(F.collect_set("from_min"), F.collect_set("to_min")).alias("at"))
     joined = windows.join(F.broadcast(minutes), "stack", "left")  # a row per literal stack
-    return intervals.cut_windows(joined, F.col("at"), zone=None).select("o_orderkey", "stack", "piece_start", "piece_end", "minutes")
+    return intervals.cut_windows(joined, F.col("at"), zone=None, key="o_orderkey").select("o_orderkey", "stack", "piece_start", "piece_end", "minutes")
 
 
-def _outcomes(spark, d):
-    return intervals.resolve(_pieces(spark, d), _rules(spark), _calendar(spark), "o_orderkey", "stack")
+def _outcomes(spark, d, orders=None):
+    return intervals.resolve(_pieces(spark, d, orders), _rules(spark), _calendar(spark), "o_orderkey", "stack")
 
 
 @query(f"WITH {_BASE} SELECT o_orderkey, piece_start, piece_end, minutes FROM timed")
@@ -135,8 +135,8 @@ _VERDICTS = """,
         minutes, charged_minutes, confidence FROM said)"""
 
 
-def _verdicts(spark, d):
-    return intervals.verdicts(_outcomes(spark, d), _rules(spark), "o_orderkey", "stack")
+def _verdicts(spark, d, orders=None):
+    return intervals.verdicts(_outcomes(spark, d, orders), _rules(spark), "o_orderkey", "stack")
 
 
 @query(f"WITH {_BASE}{_VERDICTS} SELECT * FROM verdicts")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import common as fn
 from ..operators import names, network, ranking
+from ..operators.lineage import written
 from .rules import _BASE, _VERDICTS, _verdicts
 from .spans import _RATES
 from .tables import posted, query, read, sql_posted
@@ -50,7 +51,9 @@ def _scored(spark, d, n_points: int):
     points = network.within_radius(read(spark, d, "embeddings").select("vec_id", e(0).alias("x"), e(1).alias("y")), "x", "y", 0.0, 0.0, 0.15)
     spans = read(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % n_points).alias("vec_id")).join(points, "vec_id")
     rates = F.array(*[F.lit(r).cast("decimal(12,2)") for r in _RATES])
-    return score_results(spans.select("o_orderkey", (F.col("distance") * 3000).alias("metres")), _verdicts(spark, d), "o_orderkey", rates)
+    near = read(spark, d, "orders").join(spans.select("o_orderkey"), "o_orderkey", "left_semi")  # only what is near gets a verdict
+    scored = score_results(spans.select("o_orderkey", (F.col("distance") * 3000).alias("metres")), _verdicts(spark, d, near), "o_orderkey", rates)
+    return written(scored)  # ranked, counted and capped from one table
 
 
 @query(f"""WITH RECURSIVE {_BASE}{_VERDICTS},
