@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .lineage import cut, sent_if_few
 
 #: fixed values: metres a degree, and the Lambert conformal conic of the state plane (US survey feet)
 METRES_LAT, METRES_LON = 111_132.0, 111_320.0
@@ -106,10 +106,10 @@ def within_radius(rows: DataFrame, x: str, y: str, cx: float, cy: float, r: floa
 
 
 def nearest(rows: DataFrame, key: str, x: str, y: str, probes: DataFrame, probe: str, px: str, py: str) -> DataFrame:
-    """For each probe the nearest row (smallest key on a tie). Probes are a stated, small query set, sent
-    to all tasks; each task keeps one row per probe before the shuffle."""
+    """For each probe the nearest row (smallest key on a tie). Probes are a stated query set, counted and
+    sent to all tasks if they are few; each task keeps one row per probe before the shuffle."""
     d = F.sqrt((F.col(x) - F.col(px)) * (F.col(x) - F.col(px)) + (F.col(y) - F.col(py)) * (F.col(y) - F.col(py)))
-    pairs = rows.crossJoin(F.broadcast(probes)).withColumn("distance", d)
+    pairs = rows.crossJoin(sent_if_few(probes)).withColumn("distance", d)
     return pairs.groupBy(probe).agg(F.min_by(F.struct(key, "distance"), F.struct("distance", key)).alias("b")).select(probe, f"b.{key}", "b.distance")
 
 
@@ -187,12 +187,12 @@ def in_ring(px: Column, py: Column, ring: Column) -> Column:
 
 
 def smallest_polygon(points: DataFrame, polygons: DataFrame, px: str, py: str, key: str, poly: str, ring: str, area: str) -> DataFrame:
-    """points with the smallest polygon that holds them, or null. Polygons are zones, few and sent to
-    all tasks; boxes rule most of them out."""
+    """points with the smallest polygon that holds them, or null. Polygons are zones, counted and sent to
+    all tasks if they are few; boxes rule most of them out."""
     xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
     zones = polygons.select(poly, ring, area, F.array_min(xs).alias("_x0"), F.array_max(xs).alias("_x1"), F.array_min(ys).alias("_y0"), F.array_max(ys).alias("_y1"))
     near = F.col(px).between(F.col("_x0"), F.col("_x1")) & F.col(py).between(F.col("_y0"), F.col("_y1"))
-    rows = points.join(F.broadcast(zones), near & in_ring(F.col(px), F.col(py), F.col(ring)), "left")
+    rows = points.join(sent_if_few(zones), near & in_ring(F.col(px), F.col(py), F.col(ring)), "left")
     return rows.groupBy(key).agg(F.min_by(poly, F.struct(area, poly)).alias(poly))
 
 

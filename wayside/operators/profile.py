@@ -98,12 +98,20 @@ def join_outcomes(df: DataFrame, reference: DataFrame, a: str, b: str) -> DataFr
     return found.groupBy(kind.alias("outcome")).agg(F.sum("n").alias("n"), F.count("*").alias("n_pairs"))
 
 
-def dictionary_codes(df: DataFrame, order: str, value: str) -> DataFrame:
-    """value and code: codes number the values by first appearance; null has -1. There is a row per
-    value, and those few are numbered in one window."""
+def dictionary_codes(df: DataFrame, order: str, value: str, buckets: int = 256) -> DataFrame:
+    """value and code: codes number the values by first appearance (the least `order`, a whole number; values that
+    first appear together go by value); null has -1. Values are ranged into buckets of that place, numbered inside, and the
+    few buckets' sizes are added up before, so no task holds all values."""
     first = df.groupBy(value).agg(F.min(order).alias("first"))
-    code = F.row_number().over(Window.orderBy(F.col(value).isNull(), "first")) - 1
-    return first.select(value, F.when(F.col(value).isNull(), -1).otherwise(code).alias("code"))
+    known = first.where(F.col(value).isNotNull())
+    bounds = known.agg(F.min("first").alias("_lo"), F.max("first").alias("_hi"))
+    bucket = F.floor((F.col("first") - F.col("_lo")) * buckets / (F.col("_hi") - F.col("_lo") + 1)).cast("int")
+    placed = known.crossJoin(F.broadcast(bounds)).withColumn("_b", bucket)  # one row
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("_b").agg(F.count("*").alias("k")).select("_b", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_b").orderBy("first", value))
+    rows = placed.join(F.broadcast(sums), "_b").select(value, (F.col("_before") + inside - 1).cast("int").alias("code"))  # a row a bucket
+    return rows.unionByName(first.where(F.col(value).isNull()).select(value, F.lit(-1).alias("code")))
 
 
 def list_offsets(df: DataFrame, key: str, buckets: int = 256) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import common
 from . import names
+from .lineage import sent_if_few
 
 #: fixed values: metres a degree of latitude, the usual width of a street and length of a car in feet
 METRES_PER_DEGREE, USUAL_WIDTH, CAR_FEET = 111_132.0, 34.0, 22
@@ -215,7 +216,7 @@ def corners(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
     """Places where a candidate of one street (name, rank) meets one of another, best ranks first. pairs
     hold both orders, so it is two equi-joins and no product."""
     x, y = a.toDF("a", "rank_a"), b.toDF("b", "rank_b")
-    return pairs.join(F.broadcast(x), "a").join(F.broadcast(y), "b").where("a <> b").withColumn("rank", F.col("rank_a") + F.col("rank_b"))  # candidates: eight at most
+    return pairs.join(sent_if_few(x), "a").join(sent_if_few(y), "b").where("a <> b").withColumn("rank", F.col("rank_a") + F.col("rank_b"))
 
 
 def suggestions(found: list[DataFrame], coverage: DataFrame | None = None, most: int = 8) -> DataFrame:

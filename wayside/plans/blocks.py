@@ -37,10 +37,16 @@ def _segments(spark, d):
     return rows.unionByName(pieces(part, "v", across, (0, 0), (1, 0), F.lit(200), F.lit(30), no))
 
 
+def _asked(spark, d):
+    """Orders ask for blocks of all streets: with the number of streets."""
+    rows = read(spark, d, "part").agg((F.floor(F.max("p_partkey") / _W) + 1).alias("n_rows"))
+    return read(spark, d, "orders").crossJoin(F.broadcast(rows))  # one row
+
+
 @query(f"""WITH {_GRID},
-    req AS (SELECT o_orderkey, CASE WHEN o_orderkey % 17 = 0 THEN 'X' ELSE 'H' || (o_orderkey % 6) END AS street, CASE WHEN o_orderkey % 23 = 0 THEN 'DEAD END' WHEN o_orderkey % 19 = 0 THEN 'Y' ELSE 'V' || (o_custkey % 50) END AS f,
+    req AS (SELECT o_orderkey, CASE WHEN o_orderkey % 17 = 0 THEN 'X' ELSE 'H' || (o_orderkey % n_rows) END AS street, CASE WHEN o_orderkey % 23 = 0 THEN 'DEAD END' WHEN o_orderkey % 19 = 0 THEN 'Y' ELSE 'V' || (o_custkey % 50) END AS f,
       CASE WHEN o_orderkey % 23 = 0 THEN 'DEAD END' WHEN o_orderkey % 19 = 0 THEN 'Z' ELSE 'V' || ((o_custkey + 1 + o_orderkey % 3) % 50) END AS t,
-      o_orderkey % 6 AS r, o_custkey % 50 AS c1, (o_custkey + 1 + o_orderkey % 3) % 50 AS c2 FROM orders),
+      o_orderkey % n_rows AS r, o_custkey % 50 AS c1, (o_custkey + 1 + o_orderkey % 3) % 50 AS c2 FROM orders, (SELECT max(p_partkey) // 50 + 1 AS n_rows FROM part)),
     link AS (SELECT r, c, count(*) AS n, min(segment) AS segment, arg_min(length, segment) AS length, arg_min(width, segment) AS width, arg_min(assumed, segment) AS assumed FROM seg WHERE r IS NOT NULL GROUP BY ALL),
     meet AS (SELECT x.street, y.street AS other, node FROM nodes x JOIN nodes y USING (node)),
     q AS (SELECT req.*, f1.node AS n1, t1.node AS n2, f IN (SELECT street FROM nodes) AND t IN (SELECT street FROM nodes) AS crossed, req.street IN (SELECT street FROM nodes) AS known
@@ -55,8 +61,8 @@ def block_lookup(spark, d):
     dead, lost = k % 23 == 0, k % 19 == 0
     name = lambda number, other: F.when(dead, blocks.DEAD_END).when(lost, other).otherwise(F.concat(F.lit("V"), number % _W))
     none = F.lit(None).cast("double")
-    requests = read(spark, d, "orders").select(
-        "o_orderkey", F.when(k % 17 == 0, "X").otherwise(F.concat(F.lit("H"), k % 6)).alias("on"), name(c, "Y").alias("from_name"), name(c + 1 + k % 3, "Z").alias("to_name"), none.alias("x"), none.alias("y"),
+    requests = _asked(spark, d).select(
+        "o_orderkey", F.when(k % 17 == 0, "X").otherwise(F.concat(F.lit("H"), k % F.col("n_rows"))).alias("on"), name(c, "Y").alias("from_name"), name(c + 1 + k % 3, "Z").alias("to_name"), none.alias("x"), none.alias("y"),
     )
     found = blocks.find_blocks(requests, "o_orderkey", _segments(spark, d)).where("chain IS NULL OR chain = 1")
     return found.select("o_orderkey", "reason", "n_chains", "start_node", "end_node", "chain_ids", "length", F.round("width", 6).alias("width"), "assumed")
@@ -70,9 +76,9 @@ def block_ends(spark, d):
     corner = F.concat(F.lit("V"), c % _W)
     other = F.when(k % 3 == 0, blocks.DEAD_END).otherwise(F.concat(F.lit("V"), c % _W + 1, F.lit("0")))
     flip, placed = k % 2 == 0, k % 5 == 0
-    requests = read(spark, d, "orders").select(
-        "o_orderkey", F.concat(F.lit("H"), k % 6).alias("on"), F.when(flip, other).otherwise(corner).alias("from_name"), F.when(flip, corner).otherwise(other).alias("to_name"),
-        F.when(placed, (c % _W) * 100.0 + 30).alias("x"), F.when(placed, k % 6 * 100.0).alias("y"),
+    requests = _asked(spark, d).select(
+        "o_orderkey", F.concat(F.lit("H"), k % F.col("n_rows")).alias("on"), F.when(flip, other).otherwise(corner).alias("from_name"), F.when(flip, corner).otherwise(other).alias("to_name"),
+        F.when(placed, (c % _W) * 100.0 + 30).alias("x"), F.when(placed, k % F.col("n_rows") * 100.0).alias("y"),
     )
     found = blocks.find_blocks(requests, "o_orderkey", _segments(spark, d))
     return found.select("o_orderkey", "reason", "how", "start_node", "end_node", "chain_ids", "length")

@@ -208,8 +208,8 @@ def point_in_polygon(spark, d):
     return network.smallest_polygon(_points(spark, d), zones, "x", "y", "vec_id", "zone", "ring", "area")
 
 
-_REVERSE = """p AS (SELECT s_suppkey AS k, s_suppkey * 37 % 1000 AS x, s_suppkey * 61 % 1000 AS y FROM supplier), doors AS (SELECT c_custkey AS n, c_custkey * 17 % 1000 AS x, c_custkey * 29 % 1000 AS y FROM customer WHERE c_nationkey < 8),
-    corners AS (SELECT p_partkey AS n, p_partkey * 41 % 1000 AS x, p_partkey * 7 % 1000 AS y FROM part WHERE p_size < 20),
+_REVERSE = """p AS (SELECT s_suppkey AS k, s_suppkey * 37 % 1000 AS x, s_suppkey * 61 % 1000 AS y FROM supplier), doors AS (SELECT c_custkey AS n, c_custkey * 17 % 1000 AS x, c_custkey * 29 % 1000 AS y FROM customer),
+    corners AS (SELECT p_partkey AS n, p_partkey * 41 % 1000 AS x, p_partkey * 7 % 1000 AS y FROM part),
     found AS (SELECT k, 'door' AS kind, n, 1 AS rung, sqrt((d.x - p.x) ** 2 + (d.y - p.y) ** 2) AS distance FROM p, doors d WHERE sqrt((d.x - p.x) ** 2 + (d.y - p.y) ** 2) <= 60
         UNION ALL SELECT k, 'corner', n, 2, sqrt((d.x - p.x) ** 2 + (d.y - p.y) ** 2) FROM p, corners d WHERE sqrt((d.x - p.x) ** 2 + (d.y - p.y) ** 2) <= 250)"""
 
@@ -218,8 +218,8 @@ _REVERSE = """p AS (SELECT s_suppkey AS k, s_suppkey * 37 % 1000 AS x, s_suppkey
 def reverse_places(spark, d):
     """The nearest door within 60 in widening boxes, else the nearest corner within 250."""
     xy = lambda df, c, n, a, b: df.select(F.col(c).alias(n), (F.col(c) * a % 1000).alias("x"), (F.col(c) * b % 1000).alias("y"))
-    doors = xy(read(spark, d, "customer").where("c_nationkey < 8"), "c_custkey", "n", 17, 29)
-    corners = xy(read(spark, d, "part").where("p_size < 20"), "p_partkey", "n", 41, 7)
+    doors = xy(read(spark, d, "customer"), "c_custkey", "n", 17, 29)
+    corners = xy(read(spark, d, "part"), "p_partkey", "n", 41, 7)
     return network.reverse_ladder(xy(read(spark, d, "supplier"), "s_suppkey", "k", 37, 61), "k", [("door", doors, "n", [15.0, 60.0]), ("corner", corners, "n", [60.0, 250.0])])
 
 
