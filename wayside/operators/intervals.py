@@ -36,7 +36,8 @@ def cut_windows(windows: DataFrame, minutes: Column, zone: str | None = ZONE, ke
     minutes is an array column of minutes of the day; midnight always cuts. The cut is made inside a
     row, without a shuffle. zone None takes the day as 1440 minutes throughout.
     """
-    windows = windows.repartition(key) if key else windows
+    if key:  # a stated number, as rows that grow by an explode shouldn't be coalesced by their size before it
+        windows = windows.repartition(int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
     days = F.sequence(F.to_date("start"), F.to_date("end"))
     at = F.array_union(F.array(F.lit(0), F.lit(1440)), F.filter(F.coalesce(minutes, F.array().cast("array<int>")), lambda m: m.isNotNull()))
     walls = F.flatten(F.transform(days, lambda d: F.transform(at, lambda m: d.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), m))))
