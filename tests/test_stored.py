@@ -1,11 +1,12 @@
 """Upserts by arrival, tables that scans prune, parts of networks, suggestions' driver words, meter misses."""
 
+import functools
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from wayside.operators import intervals, meters, names, network, suggest
+from wayside.operators import intervals, meters, names, network, records, suggest
 from wayside.plans import stored
 from wayside.sources import snapshots
 
@@ -69,15 +70,13 @@ def test_driver_words(spark):
     index = sorted({(w, i, s, s) for s in spelled for i, w in enumerate(s.split())})
     texts = ["aa", "a", "aab zo", "zeta aa", "zo ab aa", "aac aad aae aaf", "q", "z q"]
 
-    def by_hand(tokens, scans=3, most=15, enough=4):
-        driver = None
-        for n, t in enumerate(sorted(tokens, key=len, reverse=True)[:scans]):
-            rows = {(k, s) for _, _, k, s in sorted((x for x in index if x[0].startswith(t)), key=lambda x: (x[0], x[1], x[3], x[2]))[:most]}
-            if n == 0 or len(rows) < len(driver):
-                driver = rows
-            if len(driver) <= enough:
-                break
-        return driver
+    def reached(word, most=15):
+        rows = [(w, i, spelling) for w, i, _, spelling in index if w.startswith(word)]
+        return {(spelling, spelling) for _, _, spelling in sorted(rows)[:most]}
+
+    def by_hand(words, enough=4):
+        tried = [reached(w) for w in sorted(words, key=lambda w: -len(w))[:3]]
+        return functools.reduce(lambda a, b: a if len(a) <= enough or len(b) >= len(a) else b, tried)
 
     df = spark.createDataFrame([(t, t.split()) for t in texts], "q string, t array<string>")
     idx = names.token_index(spark.createDataFrame([(s, s) for s in spelled], "k string, s string"), "k", "s")
@@ -103,3 +102,18 @@ def test_same_effect_by_hand(spark):
     df = spark.createDataFrame([tuple((base | r | {"stack": s})[n] for n in names_) for s, r in rules], "stack string, action string, permitted boolean, vehicle string, exclusive boolean, days int, from_min int, to_min int, season_from int, season_to int, metered boolean, limit_min int, except_sunday boolean")
     key = {r.stack: r.effect for r in intervals.effect_keys(df, "stack").collect()}
     assert key["a"] == key["b"] == key["g"] == key["h"] and key["d"] == key["e"] and len({key[k] for k in "acdf"}) == 4
+
+
+def test_raw_segments_by_hand(spark):
+    line = [(0.0, 0.0), (3.0, 4.0), (3.0, 4.0), (3.0, 10.0)]
+    rows = [(" 7 ", "Main Street", "x", " 1 ", 0.0, line), ("8", "", "2nd Avenue ", None, 12.0, line[:2]), ("", "a", "a", "1", 1.0, line), ("9", " ", None, "1", 1.0, line), ("10", "a", "a", "1", 1.0, line[:1]), ("11", "a", "a", "1", 1.0, None), (None, "a", "a", "1", 1.0, line)]
+    df = spark.createDataFrame(rows, "id string, full_name string, label string, kind string, width double, line array<struct<x: double, y: double>>")
+    kept, skipped = records.raw_segments(df)
+    got = {r.segment: (r.name, r.street, r.kind, r.length, r.width, r.assumed, r.from_node == r.to_node) for r in kept.collect()}
+    assert got == {"7": ("Main Street", "MAIN ST", "1", 11.0, 34.0, True, False), "8": ("2nd Avenue", "2 AVE", "", 5.0, 12.0, False, False)} and skipped.first().skipped == 5
+
+
+def test_clocks_and_days_as_text(spark):
+    texts = {"00:00": (True, False), "23:59": (True, False), "24:00": (False, False), "7:00": (False, False), "02-31": (False, True), "13-01": (False, False), "01-00": (False, False), "aa:bb": (False, False), "": (False, False), None: (False, False)}
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", records.is_clock(F.col("t")).alias("c"), records.is_month_day(F.col("t")).alias("d"))
+    assert {r.t: (r.c, r.d) for r in df.collect()} == texts

@@ -1,6 +1,6 @@
 """Whole queries composed of the operators, with their SQL counterparts."""
 
-from . import blocks, curbs, meters, places, profiling, rules, search, spans, staging, stored, suggest, texts
+from . import blocks, curbs, meters, places, profiling, records, rules, search, spans, staging, stored, suggest, texts
 from .tables import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "blocks", "curbs", "meters", "places", "profiling", "rules", "search", "spans", "staging", "stored", "suggest", "texts"]
+__all__ = ["ORACLES", "QUERIES", "blocks", "curbs", "meters", "places", "profiling", "records", "rules", "search", "spans", "staging", "stored", "suggest", "texts"]
