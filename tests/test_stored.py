@@ -110,7 +110,7 @@ def test_raw_segments_by_hand(spark):
     df = spark.createDataFrame(rows, "id string, full_name string, label string, kind string, width double, line array<struct<x: double, y: double>>")
     kept, skipped = records.raw_segments(df)
     got = {r.segment: (r.name, r.street, r.kind, r.length, r.width, r.assumed, r.from_node == r.to_node) for r in kept.collect()}
-    assert got == {"7": ("Main Street", "MAIN ST", "1", 11.0, 34.0, True, False), "8": ("2nd Avenue", "2 AVE", "", 5.0, 12.0, False, False)} and skipped.first().skipped == 5
+    assert got == {"7": ("Main Street", "MAIN ST", "1", 11.0, 34.0, True, False), "8": ("2nd Avenue", "2ND AVE", "", 5.0, 12.0, False, False)} and skipped.first().skipped == 5
 
 
 def test_clocks_and_days_as_text(spark):
