@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage import cut, sent_if_few
+from .lineage import cut, sent_if_few, written
 
 #: fixed values: metres a degree, and the Lambert conformal conic of the state plane (US survey feet)
 METRES_LAT, METRES_LON = 111_132.0, 111_320.0
@@ -140,6 +140,16 @@ def reverse_ladder(probes: DataFrame, probe: str, rungs: list[tuple[str, DataFra
     return out
 
 
+def reverse_with_streets(probes: DataFrame, probe: str, rungs: list[tuple[str, DataFrame, str, list[float]]], streets: DataFrame, key: str, line: str, r: float) -> DataFrame:
+    """probe, kind, name, distance, x, y: reverse_ladder, and for places that none of its rungs names the nearest street
+    within r and the place on it (x and y are null for the others, which are places themselves)."""
+    near = written(reverse_ladder(probes, probe, rungs))
+    left = probes.join(near.select(probe), probe, "left_anti")
+    on = nearest_line(streets, key, line, left, probe, r).select(probe, F.lit("street").alias("kind"), F.col(key).cast("string").alias("name"), "distance", "x", "y")
+    none = F.lit(None).cast("double")
+    return near.select(probe, "kind", "name", "distance", none.alias("x"), none.alias("y")).unionByName(on)
+
+
 def polyline_distance(px: Column, py: Column, line: Column) -> Column:
     """Distance of a point from a line, an array of struct<x, y>."""
     from ..functions.common import segment_distance

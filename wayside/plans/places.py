@@ -238,6 +238,25 @@ def reverse_streets(spark, d):
     return found.select("k", "n", *[F.round(c, 6).alias(c) for c in ("distance", "x", "y")])
 
 
+@query("""WITH p AS (SELECT s_suppkey AS k, CAST(s_suppkey * 37 % 1000 AS DOUBLE) AS px, CAST(s_suppkey * 61 % 1000 AS DOUBLE) AS py FROM supplier),
+    pt AS (SELECT c_custkey AS n, 'door' AS kind, 1 AS rung, 15 AS r, c_custkey * 17 % 1000 AS x, c_custkey * 29 % 1000 AS y FROM customer UNION ALL SELECT p_partkey, 'corner', 2, 25, p_partkey * 41 % 1000, p_partkey * 7 % 1000 FROM part WHERE p_size % 2 = 0),
+    near AS (SELECT k, kind, rung, n, sqrt((x - px) ** 2 + (y - py) ** 2) AS distance FROM p, pt WHERE sqrt((x - px) ** 2 + (y - py) ** 2) <= r QUALIFY row_number() OVER (PARTITION BY k ORDER BY rung, distance, n) = 1),
+    l AS (SELECT p_partkey AS n, CAST(p_partkey * 41 % 1000 AS DOUBLE) AS ax, CAST(p_partkey * 7 % 1000 AS DOUBLE) AS ay, 10.0 + p_size AS dx, 20.0 * (p_size % 3) AS dy FROM part),
+    t AS (SELECT *, greatest(0, least(1, ((px - ax) * dx + (py - ay) * dy) / (dx * dx + dy * dy)))::DOUBLE AS t FROM p, l WHERE k NOT IN (SELECT k FROM near)),
+    d AS (SELECT k, n, ax + t * dx AS x, ay + t * dy AS y, sqrt((px - ax - t * dx) ** 2 + (py - ay - t * dy) ** 2) AS distance FROM t)
+    SELECT k, kind, CAST(n AS VARCHAR) AS name, round(distance, 6) AS distance, NULL::DOUBLE AS x, NULL::DOUBLE AS y FROM near
+    UNION ALL SELECT k, 'street', CAST(n AS VARCHAR), round(distance, 6), round(x, 6), round(y, 6) FROM d WHERE distance <= 120 QUALIFY row_number() OVER (PARTITION BY k ORDER BY round(distance, 9), n) = 1""")
+def reverse_ladder(spark, d):
+    """What a place is called, by all three rungs: a door, else a corner, else the place on the nearest street."""
+    at = lambda df, c, n, a, b: df.withColumns({n: F.col(c), "x": (F.col(c) * a % 1000).cast("double"), "y": (F.col(c) * b % 1000).cast("double")})
+    doors, parts = at(read(spark, d, "customer"), "c_custkey", "n", 17, 29).select("n", "x", "y"), at(read(spark, d, "part"), "p_partkey", "n", 41, 7)
+    end = F.struct((F.col("x") + 10 + F.col("p_size")).alias("x"), (F.col("y") + F.col("p_size") % 3 * 20).alias("y"))
+    streets = parts.select("n", F.array(F.struct("x", "y"), end).alias("line"))
+    rungs = [("door", doors, "n", [5.0, 15.0]), ("corner", parts.where("p_size % 2 = 0").select("n", "x", "y"), "n", [25.0])]
+    found = network.reverse_with_streets(at(read(spark, d, "supplier"), "s_suppkey", "k", 37, 61).select("k", "x", "y"), "k", rungs, streets, "n", "line", 120.0)
+    return found.select("k", "kind", "name", *[F.round(c, 6).alias(c) for c in ("distance", "x", "y")])
+
+
 @query("SELECT c_custkey, true AS exact FROM customer")
 def lcc_roundtrip(spark, d):
     """Customers spread over a grid of degrees, to the plane and back."""
