@@ -40,6 +40,34 @@ def total_cost(walk: Column, price: Column, risk: Column, weights=WEIGHTS) -> Co
     return walk * w + F.coalesce(price.cast("double"), F.lit(0.0)) * m + risk.cast("double") * r
 
 
+#: fixed values: what is said beside a price
+UNPRICED, SEVERAL = "metered, but no rate is published", "more than one zone covers this curb"
+
+
+def price_spans(spans: DataFrame, rates: DataFrame) -> DataFrame:
+    """spans (segment, side, verdict, charged_minutes, placeholder and others) with price, price_known, rate_label and
+    price_note. rates have segment, side, label, rates (an array of hourly prices); a curb may be in several zones.
+
+    A stretch without rules is unpriced, not free; without charged minutes the price is 0; without a rate there is
+    none; of several prices the dearest is given, marked as not known (of equal ones the first label is named). The zones
+    of a curb are few and held in its row, so each span is joined once."""
+    zones = rates.where(F.size("rates") > 0).groupBy("segment", "side").agg(F.collect_set(F.struct("label", "rates")).alias("_z"))
+    rows = spans.join(zones, ["segment", "side"], "left")
+    each = F.transform("_z", lambda z: F.struct((-progressive_price(z["rates"], F.col("charged_minutes").cast("int"))).alias("p"), z["label"].alias("l")))
+    rows = rows.withColumn("_p", F.when(F.col("charged_minutes") > 0, each))
+    blank = F.col("placeholder") | (F.col("verdict") == "no_data")
+    free, several = F.col("charged_minutes") == 0, F.size(F.array_distinct(F.transform("_p", lambda x: x["p"]))) > 1
+    best = F.array_min("_p")
+    zero = F.lit(0).cast("decimal(12,2)")
+    rows = rows.withColumns({
+        "price": F.when(blank, None).when(free, zero).otherwise((-best["p"]).cast("decimal(12,2)")),
+        "price_known": F.when(blank, False).when(free, True).otherwise(F.coalesce(F.col("_p").isNotNull() & ~several, F.lit(False))),
+        "rate_label": F.when(~blank & ~free, best["l"]),
+        "price_note": F.when(blank | free, None).when(F.col("_p").isNull(), UNPRICED).when(several, SEVERAL),
+    })
+    return rows.drop("_z", "_p")
+
+
 def anchored_bands(rows: DataFrame, group: str, key: str, score: str, width: float) -> DataFrame:
     """group, key, score, band: in rising order of (score, key), a new band begins where the score
     exceeds the first of the current band by more than width.

@@ -139,3 +139,30 @@ def snap_scores(spark, d):
 def flag_bitmask(spark, d):
     bits = fn.flag_bits(F.col("c_custkey") % 2 == 0, F.col("c_custkey") % 3 == 0, F.col("c_acctbal") > 0)
     return read(spark, d, "customer").select("c_custkey", fn.leading_int(F.col("c_name")).alias("number"), (F.col("c_acctbal") > 0).alias("up"), bits.alias("bits"))
+
+
+_ZONES = [("A", [1.50]), ("B", [5.50, 9.00]), ("C", [2.00, 3.00, 4.50]), ("D", []), ("E", [1.50])]
+
+
+@query(f"""WITH {_BASE}{_VERDICTS},
+    zones(k, label, cents) AS (VALUES {", ".join(f"({i}, '{n}', {[round(100 * v) for v in r]}::INT[])" for i, (n, r) in enumerate(_ZONES))}),
+    held AS (SELECT DISTINCT c_custkey % 60 AS segment, ['E', 'W'][c_custkey % 2 + 1] AS side, label, cents FROM customer JOIN zones ON k = c_custkey // 60 % 5 WHERE c_custkey % 60 < 45 AND len(cents) > 0),
+    s AS (SELECT o_orderkey, o_custkey % 60 AS segment, ['E', 'W'][o_orderkey % 2 + 1] AS side, verdict, charged_minutes, o_orderkey % 10 = 0 AS placeholder FROM verdicts JOIN orders USING (o_orderkey)),
+    p AS (SELECT o_orderkey, label, ((2 * list_sum(list_transform(range(0, (charged_minutes + 59) // 60), lambda i: cents[least(i + 1, len(cents))] * least(60, charged_minutes - i * 60))) + 60)::BIGINT // 120) AS c FROM s JOIN held USING (segment, side) WHERE charged_minutes > 0),
+    b AS (SELECT o_orderkey, max(c) AS c, arg_min(label, (-c, label)) AS label, count(DISTINCT c) AS n FROM p GROUP BY o_orderkey)
+    SELECT o_orderkey, segment, side, CASE WHEN placeholder OR verdict = 'no_data' THEN NULL WHEN charged_minutes = 0 THEN 0 ELSE c / 100.0 END::DECIMAL(12, 2) AS price,
+      NOT (placeholder OR verdict = 'no_data') AND (charged_minutes = 0 OR coalesce(n = 1, false)) AS price_known, CASE WHEN NOT (placeholder OR verdict = 'no_data') AND charged_minutes > 0 THEN label END AS rate_label,
+      CASE WHEN placeholder OR verdict = 'no_data' OR charged_minutes = 0 THEN NULL WHEN n IS NULL THEN '{ranking.UNPRICED}' WHEN n > 1 THEN '{ranking.SEVERAL}' END AS price_note,
+      verdict <> 'no_data' AND coalesce(basis <> 'absence', true) AS confidence_shown
+    FROM s LEFT JOIN b USING (o_orderkey) JOIN (SELECT o_orderkey, basis FROM verdicts) USING (o_orderkey)""")
+def span_prices(spark, d):
+    """What every window at every curb costs: rates by segment and side, curbs in no, one or several zones."""
+    k, c = F.col("o_orderkey"), F.col("c_custkey")
+    side = lambda n: F.when(n % 2 == 0, "E").otherwise("W")
+    table = spark.createDataFrame([(i, n, r) for i, (n, r) in enumerate(_ZONES)], "k int, label string, rates array<double>").withColumn("rates", F.col("rates").cast("array<decimal(12,2)>"))
+    faces = read(spark, d, "customer").where(c % 60 < 45).select((c % 60).alias("segment"), side(c).alias("side"), (F.floor(c / 60) % 5).cast("int").alias("k"))
+    rates = faces.join(F.broadcast(table), "k")  # five rows
+    spans = _verdicts(spark, d).join(read(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    spans = spans.select("o_orderkey", (F.col("o_custkey") % 60).alias("segment"), side(k).alias("side"), "verdict", "charged_minutes", (k % 10 == 0).alias("placeholder"), "basis")
+    shown = (F.col("verdict") != "no_data") & F.coalesce(F.col("basis") != "absence", F.lit(True))
+    return ranking.price_spans(spans, rates).select("o_orderkey", "segment", "side", "price", "price_known", "rate_label", "price_note", shown.alias("confidence_shown"))
