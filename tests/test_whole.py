@@ -53,3 +53,26 @@ def test_any_line_covers_a_side(spark, tmp_path):
     table(spark, tmp_path, "part", [(1,)], "p_partkey long")
     table(spark, tmp_path, "lineitem", [(1, "A", 6)], "l_partkey long, l_returnflag string, l_linenumber int")
     assert sorted(r.side for r in QUERIES["placeholders"](spark, str(tmp_path)).collect()) == ["N", "R"]
+
+
+def test_slots_take_the_strictest_rule_of_a_stack(spark, tmp_path):
+    from wayside.plans import rules
+
+    keys, rank = range(1, 28), {"park": 1, "stand": 2, "stop": 3}
+    table(spark, tmp_path, "supplier", [(k,) for k in keys], "s_suppkey long")
+    got = {(r.stack, r.slot): r.effect for r in QUERIES["slot_effect"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(keys) * 2016
+    fields = [dict(zip(rules._N, r, strict=True)) for r in rules.RULES]
+    several = 0
+    for k in keys:
+        own = rules._DEFAULT | dict(action=["park", "stand", "stop"][k % 3], days=k % 127 + 1, from_min=k * 7 % 1440, to_min=k * 13 % 1440, except_sunday=k % 4 == 0)
+        for slot in range(2016):
+            day, minute, found = slot // 288, slot % 288 * 5, []
+            for r in [*(f for f in fields if f["stack"] == k % 9), own]:
+                a, b = r["from_min"], r["to_min"]
+                clock = a is None or (a <= minute < b if b > a else minute >= a or minute < b)
+                if r["days"] >> day & 1 and not (r["except_sunday"] and day == 6) and clock and not r["permitted"] and r["vehicle"] == "all":
+                    found.append(rank[r["action"]])
+            several += len(set(found)) > 1
+            assert got[k, slot] == max(found, default=0)
+    assert several > 100

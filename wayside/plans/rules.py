@@ -184,17 +184,34 @@ def dst_elapsed(spark, d):
     return intervals.cut_windows(wall, F.array().cast("array<int>")).groupBy("o_orderkey").agg(F.sum("minutes").cast("int").alias("minutes"))
 
 
-@query("""WITH rules AS (SELECT s_suppkey AS stack, s_suppkey % 127 + 1 AS days, s_suppkey * 7 % 1440 AS from_min, s_suppkey * 13 % 1440 AS to_min, s_suppkey % 3 + 1 AS rank, s_suppkey % 4 = 0 AS except_sunday FROM supplier),
-    slots AS (SELECT CAST(s.s AS INT) AS slot, CAST(s.s // 288 AS INT) AS day, CAST(s.s % 288 * 5 AS INT) AS minute FROM range(2016) s(s))
-    SELECT slot, stack, CAST(CASE WHEN ((days >> day) & 1) = 1 AND NOT (except_sunday AND day = 6) AND CASE WHEN to_min > from_min THEN minute >= from_min AND minute < to_min ELSE minute >= from_min OR minute < to_min END THEN rank ELSE 0 END AS INT) AS effect
-    FROM slots, rules""")
+@query(f"""WITH {_BASE}, slots AS (SELECT CAST(s.s AS INT) AS slot, CAST(s.s // 288 AS INT) AS day, CAST(s.s % 288 * 5 AS INT) AS minute FROM range(2016) s(s)),
+    placed AS (SELECT s_suppkey AS stack, action, permitted, vehicle, days, from_min, to_min, except_sunday FROM supplier JOIN rules ON rules.stack = s_suppkey % 9
+        UNION ALL SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'park' WHEN 1 THEN 'stand' ELSE 'stop' END, false, 'all', s_suppkey % 127 + 1, s_suppkey * 7 % 1440, s_suppkey * 13 % 1440, s_suppkey % 4 = 0 FROM supplier)
+    SELECT slot, stack, CAST(max(CASE WHEN ((days >> day) & 1) = 1 AND NOT (except_sunday AND day = 6) AND CASE WHEN from_min IS NULL THEN true WHEN to_min > from_min THEN minute >= from_min AND minute < to_min
+        ELSE minute >= from_min OR minute < to_min END AND NOT permitted AND vehicle = 'all' THEN CASE action WHEN 'park' THEN 1 WHEN 'stand' THEN 2 ELSE 3 END ELSE 0 END) AS INT) AS effect
+    FROM slots, placed GROUP BY slot, stack""")
 def slot_effect(spark, d):
+    """What the rules of each supplier's stack mean together, slot by slot: those posted there by its key, and one of its own."""
     from ..functions import common as fn
 
-    k = F.col("s_suppkey")
-    rules = read(spark, d, "supplier").select(
-        k.alias("stack"), (k % 127 + 1).cast("int").alias("days"), (k * 7 % 1440).cast("int").alias("from_min"), (k * 13 % 1440).cast("int").alias("to_min"), (k % 3 + 1).cast("int").alias("rank"), (k % 4 == 0).alias("except_sunday"),
-    ).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(2015))))
+    columns = ["stack", "action", "permitted", "vehicle", "days", "from_min", "to_min", "except_sunday"]
+    k, suppliers = F.col("s_suppkey"), read(spark, d, "supplier").select("s_suppkey")
+    posted = suppliers.join(F.broadcast(_rules(spark).withColumnRenamed("stack", "sign")), k % 9 == F.col("sign")).withColumn("stack", k)  # a row per literal rule
+    own = suppliers.select(
+        k.alias("stack"), F.when(k % 3 == 0, "park").when(k % 3 == 1, "stand").otherwise("stop").alias("action"), F.lit(False).alias("permitted"), F.lit("all").alias("vehicle"), (k % 127 + 1).cast("int").alias("days"),
+        (k * 7 % 1440).cast("int").alias("from_min"), (k * 13 % 1440).cast("int").alias("to_min"), (k % 4 == 0).alias("except_sunday"),
+    )
+    # a stack is one row with its rules before it becomes slots; a stated number of tasks, as few bytes are much work
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rank = F.when(F.col("action") == "park", 1).when(F.col("action") == "stand", 2).otherwise(3)
+    rule = F.when(~F.col("permitted") & (F.col("vehicle") == "all"), F.struct(rank.alias("rank"), "days", "from_min", "to_min", "except_sunday"))
+    rules = posted.select(*columns).unionByName(own).repartition(parts, "stack").groupBy("stack").agg(F.collect_list(rule).alias("rules"))
+    rules = rules.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(2015))))
     day, minute = F.floor(F.col("slot") / 288).cast("int"), F.col("slot") % 288 * 5
-    on = fn.has_day(F.col("days"), day) & ~(F.col("except_sunday") & (day == 6)) & fn.in_clock_range(minute, F.col("from_min"), F.col("to_min"))
-    return rules.select("slot", "stack", F.when(on, F.col("rank")).otherwise(0).alias("effect"))
+    rules = rules.select("slot", "stack", "rules", day.alias("day"), minute.alias("minute"))
+
+    def stricter(effect, r):
+        on = fn.has_day(r["days"], F.col("day")) & ~(r["except_sunday"] & (F.col("day") == 6)) & fn.in_clock_range(F.col("minute"), r["from_min"], r["to_min"])
+        return F.when(on, F.greatest(effect, r["rank"])).otherwise(effect)
+
+    return rules.select("slot", "stack", F.aggregate("rules", F.lit(0), stricter).alias("effect"))
