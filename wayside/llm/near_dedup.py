@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import among, cut, unused
+from .common import WIDE_ROWS, among, cut, unused
 from .textblocks import hash_spans, mix, slices, texts_of, windows_of, word_bounds
 
 SHINGLE, COORDINATES, BLOCK, BLOCK_BYTES = 3, 48, 1024, 8 << 20
@@ -166,7 +166,7 @@ def components(links: DataFrame) -> DataFrame:
     large and small stars: every node's neighbours are linked to its smallest neighbour instead,
     until nothing changes. Hubs are summarised before the shuffle, and the driver sees two numbers."""
     edges, before = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), None
-    edges = cut(edges)
+    edges = cut(edges, WIDE_ROWS)  # links are confirmed here
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
@@ -249,7 +249,7 @@ def block_rows(posted: DataFrame, classes: DataFrame, roots: DataFrame, block: i
 def remaining_links(posted: DataFrame, classes: DataFrame, roots: DataFrame, docs: DataFrame, k: int, percent: int, block: int = BLOCK) -> DataFrame:
     """Links between components that star_pairs did not see, (a, b)."""
     rows = cut(block_rows(posted, classes, roots, block, matches_for(percent) > 1))
-    sets = cut(sets_of(docs, cut(rows.select("rep").distinct()), k))
+    sets = cut(sets_of(docs, cut(rows.select("rep").distinct()), k), WIDE_ROWS)
     rows = rows.join(sets, "rep")
 
     def group(table: pa.Table) -> pa.Table:
@@ -268,15 +268,15 @@ def remaining_links(posted: DataFrame, classes: DataFrame, roots: DataFrame, doc
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = MIN_PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs."""
-    signed = cut(signatures(docs, k))
+    signed = cut(signatures(docs, k), WIDE_ROWS)
     key = ["set_a", "set_b", "n_shingles"]
     classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("sig").alias("sig"))
     classes = cut(classes)
     posted = cut(postings(classes, matches_for(percent)))
     pairs = cut(star_pairs(posted, classes, matches_for(percent)))
     ids = cut(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct())
-    roots = components(confirm(pairs, cut(sets_of(docs, ids, k)), percent))
-    more = cut(remaining_links(posted, classes, roots, docs, k, percent, BLOCK))
+    roots = components(confirm(pairs, cut(sets_of(docs, ids, k), WIDE_ROWS), percent))
+    more = cut(remaining_links(posted, classes, roots, docs, k, percent, BLOCK), WIDE_ROWS)
     if not more.isEmpty():
         roots = components(more.union(roots.select("node", "root")))
     several = classes.join(roots, classes["rep"] == roots["node"], "left").where("n > 1 OR root IS NOT NULL").select(*key, F.coalesce("root", "rep").alias("component"))
