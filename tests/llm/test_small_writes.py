@@ -3,7 +3,7 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from wayside.llm import common, near_dedup, suffix_dedup
+from wayside.llm import common, near_dedup, packing, suffix_dedup
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -41,12 +41,12 @@ def test_wide_rows_pass_in_small_batches(spark):
 
 
 def test_texts_pass_in_small_batches(spark, monkeypatch):
-    """near_dedup and suffix_dedup never hold more than WIDE_ROWS texts in a batch."""
+    """near_dedup, packing and suffix_dedup never hold more than WIDE_ROWS texts in a batch."""
     base = "".join(chr(97 + i * i % 23) + " " * (i % 5 == 0) for i in range(500))
     docs = spark.range(0, 40, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.lit(base), (F.col("id") % 20).cast("string")).alias("text"))
     want = {}
     for rows in (1000, 3):
-        for module in (near_dedup, suffix_dedup):
+        for module in (near_dedup, packing, suffix_dedup):
             monkeypatch.setattr(module, "WIDE_ROWS", rows)
         seen, conf = [], spark.conf
 
@@ -57,6 +57,6 @@ def test_texts_pass_in_small_batches(spark, monkeypatch):
                 return super().set(key, value)
 
         monkeypatch.setattr(type(spark), "conf", property(lambda self, c=Noted(conf._jconf): c))
-        got = [sorted(map(tuple, f(docs).collect())) for f in (near_dedup.near_duplicates, suffix_dedup.dedup)]
+        got = [sorted(map(tuple, f(docs).collect())) for f in (near_dedup.near_duplicates, packing.pack, suffix_dedup.dedup)]
         assert seen and set(seen) == {str(rows)}
         assert want.setdefault("rows", got) == got

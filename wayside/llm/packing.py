@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import WIDE_ROWS, cut
 from .textblocks import slices
 
 CAPACITY, END_ID, GROUPS, LARGE_PART, BUCKETS = 2048, 0, 100, 8, 1024
@@ -250,7 +250,7 @@ def plan_of(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
-    pieces = cut(tokenise(docs, path, capacity))
+    pieces = cut(tokenise(docs, path, capacity), WIDE_ROWS)
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     runs = pd.DataFrame(sorted(plan_of(counts, capacity).runs), columns=["length", "rank", "n", "sequence", "offset"]).astype("int64")
     wide = 1 << 45
