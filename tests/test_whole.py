@@ -76,3 +76,19 @@ def test_slots_take_the_strictest_rule_of_a_stack(spark, tmp_path):
             several += len(set(found)) > 1
             assert got[k, slot] == max(found, default=0)
     assert several > 100
+
+
+def test_degrees_where_keys_of_parts_reach_those_of_suppliers(spark, tmp_path):
+    """Part 1,000,001 has the number of supplier 1: an edge there and one back are two, one to itself has two ends."""
+    import duckdb
+
+    from __spark_entry__ import oracle_sql
+
+    from .compare import rows_of, sql_rows
+
+    rows = [(1_000_001, 2), (1_000_002, 1), (1_000_001, 1), (1_000_001, 1), (5, 1), (5, 3), (None, 4)]
+    table(spark, tmp_path, "lineitem", rows, "l_partkey long, l_suppkey long")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = rows_of(QUERIES["nodes_degree"](spark, str(tmp_path)))
+    assert got == sql_rows(con, oracle_sql()["nodes_degree"]) == (["degree", "n_nodes"], [(1, 3), (2, 2), (5, 1)])
