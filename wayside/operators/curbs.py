@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spans, staging
-from .lineage import written
+from .lineage import sent_if_few, written
 from .signs import arrow_arity
 
 CAR, STEP, SHARP = 2200, 10.0, 0.05
@@ -200,7 +200,13 @@ def curb_line(line: Column, start: Column, end: Column, aside: Column) -> Column
 def shared_length(lines: DataFrame, others: DataFrame, key: str, other: str, line: str, cell: float, near: float = 1e-9) -> DataFrame:
     """key, other, shared: how far two lines run over each other: legs that lie on one straight line, to within near,
     as far as their stretches of it overlap. Legs meet in the cells their boxes touch, a pair in its first common
-    one; legs of one line are taken not to overlap each other."""
+    one; legs of one line are taken not to overlap each other. Equal lines are measured once, and what is found is
+    then said of each of them: a pair of keys costs a row of the result and no more, unless a key has several lines."""
+    def shapes(df: DataFrame, name: str, mark: str) -> tuple[DataFrame, DataFrame, bool]:
+        drawn = written(df.select(line).where(F.col(line).isNotNull()).distinct().withColumn(mark, F.monotonically_increasing_id()))
+        held = written(df.select(name, line).join(drawn, line).select(name, mark))
+        return drawn, held, held.groupBy(name).count().where("count > 1").isEmpty()
+
     def legs(df: DataFrame, name: str, mark: str) -> DataFrame:
         g = df.select(F.col(name), F.explode(staging.steps(F.col(line))).alias("g")).where("g.n > 0")
         box = {f"{m}{c}": f(F.col("g.p")[c], F.col("g.q")[c]) for c in "xy" for m, f in (("lo_", F.least), ("hi_", F.greatest))}
@@ -208,11 +214,15 @@ def shared_length(lines: DataFrame, others: DataFrame, key: str, other: str, lin
         span = lambda c: F.sequence(F.floor((F.col(f"{mark}lo_{c}") - near) / cell), F.floor((F.col(f"{mark}hi_{c}") + near) / cell))
         return g.withColumn("_cx", F.explode(span("x"))).withColumn("_cy", F.explode(span("y")))
 
-    pairs = legs(lines, key, "a").join(legs(others, other, "b"), ["_cx", "_cy"])
+    (drawn, held, one), (drawn_too, held_too, one_too) = shapes(lines, key, "_a"), shapes(others, other, "_b")
+    pairs = legs(drawn, "_a", "a").join(legs(drawn_too, "_b", "b"), ["_cx", "_cy"])
     first = lambda c: F.floor((F.greatest(F.col(f"alo_{c}"), F.col(f"blo_{c}")) - near) / cell)
     pairs = pairs.where((F.col("_cx") == first("x")) & (F.col("_cy") == first("y")))
     ux, uy = (F.col("aqx") - F.col("apx")) / F.col("an"), (F.col("aqy") - F.col("apy")) / F.col("an")
     off = lambda e: F.abs((F.col(f"b{e}x") - F.col("apx")) * uy - (F.col(f"b{e}y") - F.col("apy")) * ux)
     on = lambda e: (F.col(f"b{e}x") - F.col("apx")) * ux + (F.col(f"b{e}y") - F.col("apy")) * uy
     shared = F.least(F.greatest(on("p"), on("q")), F.col("an")) - F.greatest(F.least(on("p"), on("q")), F.lit(0.0))
-    return pairs.where((off("p") <= near) & (off("q") <= near) & (shared > 0)).groupBy(key, other).agg(F.sum(shared).alias("shared"))
+    found = written(pairs.where((off("p") <= near) & (off("q") <= near) & (shared > 0)).groupBy("_a", "_b").agg(F.sum(shared).alias("shared")))
+    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few rows here can make many, so not left to their size
+    rows = found.join(held, "_a").repartition(tasks, key, "_b").join(sent_if_few(held_too), "_b").select(key, other, "shared")
+    return rows if one and one_too else rows.groupBy(key, other).agg(F.sum("shared").alias("shared"))
